@@ -37,6 +37,8 @@ HOT_ENTRIES, HOT_BYTES = 250_000, 64
 #: Distinct pre-tokens that a task holds before it hands its counts on.
 HELD = 400_000
 LIMIT = 512
+#: Outside these blocks, whose letters, digits and spaces all Unicode versions class alike, the library's own splitter is used.
+_UNSURE = regex.compile("[^\\x00-\u0557\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]").search
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,7 +62,15 @@ class PreTokens:
         special = "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])
         self.special = regex.compile(special) if special else None
         self.marks = {t["content"] for t in spec["added_tokens"]}
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.plain = regex.compile(public_tokenizers.PATTERN).findall
+        from tokenizers import Tokenizer
+
+        self.exact = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+    def find(self, text: str) -> list[str]:
+        if text.isascii() or not _UNSURE(text):
+            return self.plain(text)
+        return [text[a:b] for _, (a, b) in self.exact(text)]
 
     def __call__(self, text: str) -> list[str]:
         if self.special is None or not any(m in text for m in self.marks):
