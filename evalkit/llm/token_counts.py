@@ -20,6 +20,8 @@ boundaries only by the pattern itself, never truncated.
 
 from __future__ import annotations
 
+import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -34,8 +36,8 @@ from .common import Scratch, documents, keyed
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of the broadcast table at most, and bytes that an entry may have to be in it.
 HOT_ENTRIES, HOT_BYTES = 250_000, 64
-#: Distinct pre-tokens that a task holds before it hands its counts on.
-HELD = 400_000
+#: Distinct pre-tokens that a task holds before it hands its counts on, and words whose pre-tokens it remembers.
+HELD, REMEMBERED = 200_000, 100_000
 LIMIT = 512
 #: Outside these blocks, whose letters, digits and spaces all Unicode versions class alike, the library's own splitter is used.
 _UNSURE = regex.compile("[^\\x00-\u0557\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]").search
@@ -45,6 +47,7 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+_BESIDE = re.compile(r" \s|\s | \Z").search
 
 
 class PreTokens:
@@ -67,6 +70,28 @@ class PreTokens:
 
         self.exact = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
 
+        self.memo: dict[str, tuple[str, ...]] = {}
+
+    def frequencies(self, text: str) -> Counter:
+        """The pre-tokens of a text with their frequencies.
+
+        A space with no other white space beside it always begins a pre-token, so a text
+        without such neighbours splits there, and equal words have equal pre-tokens.
+        """
+        if _BESIDE(text) or any(m in text for m in self.marks):
+            return Counter(self(text))
+        head, *rest = text.split(" ")
+        out, memo = Counter(self.find(head)), self.memo
+        for word, n in Counter(rest).items():
+            pres = memo.get(word)
+            if pres is None:
+                if len(memo) >= REMEMBERED:
+                    memo.clear()
+                pres = memo[word] = tuple(self.find(" " + word))
+            for p in pres:
+                out[p] += n
+        return out
+
     def find(self, text: str) -> list[str]:
         if text.isascii() or not _UNSURE(text):
             return self.plain(text)
@@ -88,7 +113,8 @@ def _tally(path: str):
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(split(text.as_py()))
+                for pre, n in split.frequencies(text.as_py()).items():
+                    seen[pre] += n
                 if len(seen) >= HELD:
                     yield from out()
                     seen.clear()
@@ -100,6 +126,7 @@ def _tally(path: str):
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core per task
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -125,7 +152,7 @@ def _add_up(path: str, hot):
                     text = value.as_py()
                     size.append(len(value.as_buffer()))
                     n, missing = 0, []
-                    for pre, freq in Counter(split(text)).items():
+                    for pre, freq in split.frequencies(text).items():
                         p = pieces.get(pre)
                         if p is None:
                             missing.append({"pre": pre, "freq": freq})
@@ -169,6 +196,7 @@ def token_counts(docs: DataFrame, path: str, hot_entries: int = HOT_ENTRIES) ->
             _add_up(path, hot), "k_id long, k_tx long, doc_id long, n_bytes long, found long, rest array<struct<pre: string, freq: long>>"
         )
     )
+    hot.destroy()
     rest = rows.where(F.size("rest") > 0)
     # Rows equal in id and text bring the same list: it counts once, and the sum serves each of them.
     rest = rest.groupBy("k_id", "k_tx").agg(F.first("rest").alias("rest")).select("k_id", "k_tx", F.inline("rest"))
