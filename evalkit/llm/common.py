@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalkit.session import ship
+
 #: The key of a null doc_id: it sorts before every real one.
 NULL_ID = -(2**63)
 
@@ -16,6 +18,7 @@ _own_root: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
