@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_scores, quality, sentencepiece_codec, sharding, token_counts
+from . import exact_dedup, lm_scores, pii, quality, sentencepiece_codec, sharding, token_counts
 
 _MODULES = (
     ("op2_exact_dedup", exact_dedup),
     ("op3_quality", quality),
+    ("op4_pii", pii),
     ("op5_sentencepiece", sentencepiece_codec),
     ("op6_lm_scores", lm_scores),
     ("op7_token_counts", token_counts),
