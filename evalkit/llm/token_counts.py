@@ -47,9 +47,6 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-_BESIDE = re.compile(r" \s|\s | \Z").search
-
-
 class PreTokens:
     """Splits a text as the tokenizer's byte-level pre-tokenizer does; special strings stand alone."""
 
@@ -66,34 +63,41 @@ class PreTokens:
         self.special = regex.compile(special) if special else None
         self.marks = {t["content"] for t in spec["added_tokens"]}
         self.plain = regex.compile(public_tokenizers.PATTERN).findall
+        # The same pattern for ASCII texts, whose letters and digits need no tables.
+        self.ascii = re.compile(public_tokenizers.PATTERN.replace(r"\p{L}", "A-Za-z", 99).replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
 
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.sound: set[str] = set()
 
-    def frequencies(self, text: str) -> Counter:
-        """The pre-tokens of a text with their frequencies.
+    def words(self, text: str) -> tuple[str, Counter] | None:
+        """(the text up to its first space, the words after each space with their frequencies), or None.
 
         A space with no other white space beside it always begins a pre-token, so a text
-        without such neighbours splits there, and equal words have equal pre-tokens.
+        without such neighbours splits there and a word's pre-tokens depend on the word
+        alone. None: the text has such neighbours, or a special string.
         """
-        if _BESIDE(text) or any(m in text for m in self.marks):
-            return Counter(self(text))
+        if any(m in text for m in self.marks):
+            return None
         head, *rest = text.split(" ")
-        out, memo = Counter(self.find(head)), self.memo
-        for word, n in Counter(rest).items():
-            pres = memo.get(word)
-            if pres is None:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                pres = memo[word] = tuple(self.find(" " + word))
-            for p in pres:
-                out[p] += n
-        return out
+        found, sound = Counter(rest), self.sound
+        if not found.keys() <= sound:
+            new = found.keys() - sound
+            if not all(w and not w[0].isspace() and not w[-1].isspace() for w in new):
+                return None
+            if len(sound) >= REMEMBERED:
+                sound.clear()
+            sound |= new
+        return None if rest and (not head or head[-1].isspace()) else (head, found)
+
+    def of_word(self, word: str) -> list[str]:
+        return self.find(" " + word)
 
     def find(self, text: str) -> list[str]:
-        if text.isascii() or not _UNSURE(text):
+        if text.isascii():
+            return self.ascii(text)
+        if not _UNSURE(text):
             return self.plain(text)
         return [text[a:b] for _, (a, b) in self.exact(text)]
 
@@ -106,19 +110,28 @@ class PreTokens:
 
 def _tally(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = PreTokens(path), Counter()
+        split, pres, following = PreTokens(path), Counter(), Counter()
 
         def out():
-            yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pre", "freq"])
+            for word, n in following.items():
+                for p in split.of_word(word):
+                    pres[p] += n
+            yield pa.record_batch([pa.array(list(pres), pa.string()), pa.array(list(pres.values()), pa.int64())], ["pre", "freq"])
+            pres.clear()
+            following.clear()
 
         for batch in batches:
-            for text in batch.column(0):
-                for pre, n in split.frequencies(text.as_py()).items():
-                    seen[pre] += n
-                if len(seen) >= HELD:
+            for value in batch.column(0):
+                text = value.as_py()
+                found = split.words(text)
+                if found is None:
+                    pres.update(split(text))
+                else:
+                    pres.update(split.find(found[0]))
+                    following.update(found[1])
+                if len(pres) + len(following) >= HELD:
                     yield from out()
-                    seen.clear()
-        if seen:
+        if pres or following:
             yield from out()
 
     return run
@@ -144,23 +157,34 @@ def _add_up(path: str, hot):
         split, pieces = PreTokens(path), hot.value
         names = ["k_id", "k_tx", "doc_id", "n_bytes", "found", "rest"]
         kind = pa.list_(pa.struct([("pre", pa.string()), ("freq", pa.int64())]))
+        memo: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+        def joined(pres: list[str]) -> tuple[int, tuple[str, ...]]:
+            """The pieces of those in the table, and those that aren't."""
+            return sum(pieces.get(p, 0) for p in pres), tuple(p for p in pres if p not in pieces)
+
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                size, found, rest = [], [], []
+                size, sums, rest = [], [], []
                 for value in part.column("text"):
                     text = value.as_py()
                     size.append(len(value.as_buffer()))
-                    n, missing = 0, []
-                    for pre, freq in split.frequencies(text).items():
-                        p = pieces.get(pre)
-                        if p is None:
-                            missing.append({"pre": pre, "freq": freq})
-                        else:
-                            n += freq * p
-                    found.append(n)
-                    rest.append(missing)
-                yield pa.record_batch([*(part.column(c) for c in names[:3]), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(rest, kind)], names)
+                    found = split.words(text)
+                    n, missing = joined(split(text) if found is None else split.find(found[0]))
+                    more = Counter(missing)
+                    for word, freq in found[1].items() if found else ():
+                        known = memo.get(word)
+                        if known is None:
+                            if len(memo) >= REMEMBERED:
+                                memo.clear()
+                            known = memo[word] = joined(split.of_word(word))
+                        n += freq * known[0]
+                        for p in known[1]:
+                            more[p] += freq
+                    sums.append(n)
+                    rest.append([{"pre": p, "freq": f} for p, f in more.items()])
+                yield pa.record_batch([*(part.column(c) for c in names[:3]), pa.array(size, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, kind)], names)
 
     return run
 
