@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, lm_scores, pii, quality, sentencepiece_codec, sharding, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, lm_scores, pii, quality, sentencepiece_codec, sharding, token_counts
 
 _MODULES = (
     ("op2_exact_dedup", exact_dedup),
@@ -16,6 +16,7 @@ _MODULES = (
     ("op6_lm_scores", lm_scores),
     ("op7_token_counts", token_counts),
     ("op8_decontaminate", decontaminate),
+    ("op9_jaccard_join", jaccard_join),
     ("op10_sharding", sharding),
 )
 
