@@ -22,6 +22,7 @@ doc_ids are rows as any other.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +37,10 @@ from .common import documents
 MODEL = "piece_bpe_32k.model"
 #: Stretches whose ids a worker keeps.
 KEPT = 250_000
+#: Pairs of pieces of which a worker remembers whether they may be neighbours.
+FITS = 600_000
+#: Characters of a stretch up to which its prefixes' last pieces are remembered.
+BEGUN = 8
 _MARK = "▁"
 
 
@@ -72,7 +77,12 @@ class Codec:
         else:
             self.stretch = lambda text: [text]
         self.kept: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: Whether two pieces, by number, may stand side by side; and all that a piece ends with.
+        self.fits: dict[int, bool] = {}
+        self.number: dict[str, int] = {}
+        self.begun: dict[str, tuple[str, int]] = {}
+        self.number.update((p, i + 1) for p, i in self.ids.items())
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
 
     def _is_unigram(self) -> bool:
         """BPE models number their pieces by merge: nearly everywhere the score falls by one from piece to piece."""
@@ -90,14 +100,62 @@ class Codec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _number(self, piece: str) -> int:
+        """An id for each piece and lone character; 0 is the beginning."""
+        n = self.number.get(piece)
+        if n is None:
+            n = self.ids.get(piece)
+            n = self.number[piece] = n + 1 if n is not None else (1 << 20) + ord(piece) if piece else 0
+        return n
+
     def _fit(self, a: str, b: str) -> bool:
-        ok = self.fits.get((a, b))
+        key = self._number(a) << 32 | self._number(b)
+        ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 300_000:
+            if len(self.fits) > FITS:
                 self.fits.clear()
-            ok = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            ok = self.fits[key] = self.merged(a + b) == ([a, b] if a else [b])
         return ok
 
+    def _short(self, text: str) -> list[str]:
+        """search() for a stretch within one window of a BPE model: nothing is committed before its end."""
+        known, tails, fits, begun = self.number, self.tails, self.fits, self.begun
+        best, numbers = [""], [0]
+        # A prefix's last piece depends on nothing after it, and stretches begin alike.
+        for i in range(1, min(BEGUN, len(text)) + 1):
+            last = begun.get(text[:i])
+            if last is None:
+                break
+            best.append(last[0])
+            numbers.append(last[1])
+        for i in range(len(best), len(text) + 1):
+            j = i - 1
+            piece = text[j:i]
+            ends = [piece]
+            while j and piece in tails:
+                j -= 1
+                piece = text[j:i]
+                if piece in known:
+                    ends.append(piece)
+            for piece in reversed(ends):
+                j = i - len(piece)
+                n = known.get(piece) or self._number(piece)
+                ok = fits.get(numbers[j] << 32 | n)
+                if ok is None:
+                    ok = self._fit(best[j], piece)
+                if ok:
+                    break
+            best.append(piece)
+            numbers.append(n)
+            if i <= BEGUN and len(begun) < KEPT:
+                begun[text[:i]] = piece, n
+        out, i = [], len(text)
+        while i:
+            out.append(best[i])
+            i -= len(best[i])
+        out.reverse()
+        return out
+
     def _edges(self, text: str, i: int) -> Iterator[str]:
         """Pieces that end at position i, longest first; a character outside the vocabulary is an edge of its own."""
         for n in range(min(self.longest, i), 0, -1):
@@ -160,11 +218,11 @@ class Codec:
         """The ids of a text, as little-endian 32-bit integers."""
         if not text:
             return b""
-        kept, out = self.kept, []
+        kept, quick, out = self.kept, not self.unigram, []
         for part in self.stretch((_MARK if self.prefix else "") + text.replace(" ", _MARK)):
             ids = kept.get(part)
             if ids is None:
-                ids = self._ids(self.search(part))
+                ids = self._ids(self._short(part) if quick and len(part) <= self.longest else self.search(part))
                 if len(part) <= 64:
                     if len(kept) >= KEPT:
                         kept.clear()
@@ -177,6 +235,12 @@ class Codec:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@functools.cache
+def codec(path: str) -> Codec:
+    """A worker's codec, which keeps its tables from task to task."""
+    return Codec(path)
+
+
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
 
@@ -187,7 +251,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of docs: doc_id, ids (array<int>), n_bytes, decoded_sha256, round_trip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches:
             a = 0
             while a < batch.num_rows:
@@ -199,8 +263,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                         for x in (ids, size, sha, same):
                             x.append(None)
                         continue
-                    found = codec.encode(text)
-                    back = codec.decode(found)
+                    found = own.encode(text)
+                    back = own.decode(found)
                     total += len(found)
                     ids.append(found)
                     size.append(len(text.encode()))
@@ -223,9 +287,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text from doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches:
-            texts = [None if x.as_py() is None else codec.decode(np.array(x.as_py(), "<i4").tobytes()) for x in batch.column("ids")]
+            texts = [None if x.as_py() is None else own.decode(np.array(x.as_py(), "<i4").tobytes()) for x in batch.column("ids")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
