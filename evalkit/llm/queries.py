@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, lm_scores, pii, quality, sentencepiece_codec, sharding, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, lm_scores, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
 
 _MODULES = (
+    ("op1_substring_dedup", substring_dedup),
     ("op2_exact_dedup", exact_dedup),
     ("op3_quality", quality),
     ("op4_pii", pii),
