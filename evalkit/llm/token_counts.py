@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Entries of the broadcast table at most, and bytes that an entry may have to be in it.
 HOT_ENTRIES, HOT_BYTES = 250_000, 64
 #: Distinct pre-tokens that a task holds before it hands its counts on, and words whose pre-tokens it remembers.
-HELD, REMEMBERED = 200_000, 100_000
+HELD, REMEMBERED = 200_000, 250_000
 LIMIT = 512
 #: Outside these blocks, whose letters, digits and spaces all Unicode versions class alike, the library's own splitter is used.
 _UNSURE = regex.compile("[^\\x00-\u0557\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]").search
@@ -47,6 +48,12 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: White space other than a space or a line feed.
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
+
+
 class PreTokens:
     """Splits a text as the tokenizer's byte-level pre-tokenizer does; special strings stand alone."""
 
@@ -69,27 +76,19 @@ class PreTokens:
 
         self.exact = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
 
-        self.sound: set[str] = set()
-
-    def words(self, text: str) -> tuple[str, Counter] | None:
-        """(the text up to its first space, the words after each space with their frequencies), or None.
+    def words(self, text: str) -> tuple[str, list[str]] | None:
+        """(the text up to its first space, the words after each space), or None.
 
         A space with no other white space beside it always begins a pre-token, so a text
         without such neighbours splits there and a word's pre-tokens depend on the word
         alone. None: the text has such neighbours, or a special string.
         """
-        if any(m in text for m in self.marks):
+        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(m in text for m in self.marks):
             return None
         head, *rest = text.split(" ")
-        found, sound = Counter(rest), self.sound
-        if not found.keys() <= sound:
-            new = found.keys() - sound
-            if not all(w and not w[0].isspace() and not w[-1].isspace() for w in new):
-                return None
-            if len(sound) >= REMEMBERED:
-                sound.clear()
-            sound |= new
-        return None if rest and (not head or head[-1].isspace()) else (head, found)
+        if _OTHER_SPACE(text) and any(w[0].isspace() or w[-1].isspace() for w in (head, *rest)):
+            return None
+        return head, rest
 
     def of_word(self, word: str) -> list[str]:
         return self.find(" " + word)
@@ -144,9 +143,11 @@ def _encode(path: str):
 
         tok = Tokenizer.from_file(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 5000):
-                part = batch.slice(k, 5000)
-                n = [len(e) for e in tok.encode_batch_fast(part.column("pre").to_pylist(), add_special_tokens=False)]
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                # One encoding for many pre-tokens: each of its pieces tells the pre-token that it is of.
+                made = tok.encode(part.column("pre").to_pylist(), is_pretokenized=True, add_special_tokens=False)
+                n = np.bincount(np.array(made.word_ids, np.int64), minlength=part.num_rows)
                 yield pa.record_batch([part.column("pre"), part.column("freq"), pa.array(n, pa.int32())], ["pre", "freq", "pieces"])
 
     return run
@@ -157,11 +158,18 @@ def _add_up(path: str, hot):
         split, pieces = PreTokens(path), hot.value
         names = ["k_id", "k_tx", "doc_id", "n_bytes", "found", "rest"]
         kind = pa.list_(pa.struct([("pre", pa.string()), ("freq", pa.int64())]))
-        memo: dict[str, tuple[int, tuple[str, ...]]] = {}
-
-        def joined(pres: list[str]) -> tuple[int, tuple[str, ...]]:
-            """The pieces of those in the table, and those that aren't."""
-            return sum(pieces.get(p, 0) for p in pres), tuple(p for p in pres if p not in pieces)
+        memo: dict[str, int | tuple[int, list[str]]] = {}
+
+        def joined(pres: list[str]) -> int | tuple[int, list[str]]:
+            """The pieces of those in the table; with those that aren't, if there are any."""
+            n, missing = 0, []
+            for p in pres:
+                known = pieces.get(p)
+                if known is None:
+                    missing.append(p)
+                else:
+                    n += known
+            return (n, missing) if missing else n
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -171,17 +179,20 @@ def _add_up(path: str, hot):
                     text = value.as_py()
                     size.append(len(value.as_buffer()))
                     found = split.words(text)
-                    n, missing = joined(split(text) if found is None else split.find(found[0]))
-                    more = Counter(missing)
-                    for word, freq in found[1].items() if found else ():
+                    first = joined(split(text) if found is None else split.find(found[0]))
+                    n, more = (first, {}) if isinstance(first, int) else (first[0], Counter(first[1]))
+                    for word, freq in Counter(found[1]).items() if found else ():
                         known = memo.get(word)
                         if known is None:
                             if len(memo) >= REMEMBERED:
                                 memo.clear()
                             known = memo[word] = joined(split.of_word(word))
-                        n += freq * known[0]
-                        for p in known[1]:
-                            more[p] += freq
+                        if known.__class__ is int:
+                            n += freq * known
+                        else:
+                            n += freq * known[0]
+                            for p in known[1]:
+                                more[p] = more.get(p, 0) + freq
                     sums.append(n)
                     rest.append([{"pre": p, "freq": f} for p, f in more.items()])
                 yield pa.record_batch([*(part.column(c) for c in names[:3]), pa.array(size, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, kind)], names)
