@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metrics
+from . import inference, metrics, relations
 
-MODULES = (metrics,)
+MODULES = (metrics, relations, inference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
