@@ -14,8 +14,8 @@ share a shingle among the first n - ceil(n * PERCENT / 100) + 1 of each: the pre
    filtered by size and by the bound that their prefixes' overlap puts on the sets', then
    verified on the whole sets. Verified links make first components.
 4. The rest: where a prefix shingle (or group) still holds several components, all pairs of
-   classes from different components that pass the size and position filters are expanded,
-   filtered and verified. Pairs inside one component need no test, as they change nothing.
+   classes from different components that pass the size filter, and have the shingle early
+   enough for the two sizes, are expanded, filtered and verified. Pairs inside one component need no test, as they change nothing.
 
 So every pair of sets that may link is verified or already connected, while a large family
 of near copies costs a pair per member and not the square. Whole sets are read again only
@@ -215,8 +215,19 @@ class _Join:
         first = index.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("pos", "gid", "n")).alias("first")).where("many > 1")
         return self.scratch.save(index.join(first.select("token", "first"), "token"))
 
-    def sized(self, x: str, y: str) -> str:
-        return f"100 * least({x}, {y}) >= {self.percent} * greatest({x}, {y})"
+    def may_link(self, x: str, y: str) -> str:
+        """Whether a shared shingle at pos of x and of y can be the first that two linking sets of n shingles share.
+
+        Linking sets share at least a = ceil(percent * (x.n + y.n) / (100 + percent)), so
+        at most n - a of a set come before the first shared one; what comes before it in
+        both, itself and what follows bounds the overlap. Every linking pair passes at its
+        first shared shingle.
+        """
+        a = f"(({self.percent} * ({x}.n + {y}.n) + {99 + self.percent}) div {100 + self.percent})"
+        return (
+            f"100 * least({x}.n, {y}.n) >= {self.percent} * greatest({x}.n, {y}.n) and {x}.pos <= {x}.n - {a} and {y}.pos <= {y}.n - {a}"
+            f" and least({x}.pos, {y}.pos) + 1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1 >= {a}"
+        )
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose sets link."""
@@ -237,7 +248,7 @@ class _Join:
         return links
 
     def stars(self, shared: DataFrame) -> DataFrame:
-        index = shared.where("gid <> first.gid").where(self.sized("n", "first.n")).select(F.least("gid", "first.gid").alias("a"), F.greatest("gid", "first.gid").alias("b"))
+        index = shared.alias("x").where("gid <> first.gid").where(self.may_link("x", "first")).select(F.least("gid", "first.gid").alias("a"), F.greatest("gid", "first.gid").alias("b"))
         inside = self.member.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
         return self.scratch.save(index.union(inside).distinct())
 
@@ -253,9 +264,7 @@ class _Join:
         inner = inner.select((F.col("gid") * 2 + 1).alias("token"), F.lit(True).alias("grp"), "gid", F.lit(0).alias("pos"), "cls", "n", "comp")
         open_ = self.scratch.save(open_.select("token", F.lit(False).alias("grp"), "gid", "pos", "cls", "n", "comp").union(inner))
         x, y = open_.alias("x"), open_.alias("y")
-        # The shingle's place bounds the overlap: what comes before it in both, itself, and what comes after.
-        most = "least(x.pos, y.pos) + 1 + least(x.n - x.pos - 1, y.n - y.pos - 1)"
-        pairs = x.join(y, F.expr(f"x.token = y.token and x.grp = y.grp and x.comp < y.comp and {self.sized('x.n', 'y.n')} and {100 + self.percent} * ({most}) >= {self.percent} * (x.n + y.n)"))
+        pairs = x.join(y, F.expr(f"x.token = y.token and x.grp = y.grp and x.comp < y.comp and {self.may_link('x', 'y')}"))
         pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         return self.scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))
 
