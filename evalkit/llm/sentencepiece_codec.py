@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,12 +36,16 @@ from pyspark.sql import functions as F
 from .common import documents
 
 MODEL = "piece_bpe_32k.model"
-#: Stretches whose ids a worker keeps.
-KEPT = 250_000
+#: Stretches whose ids a worker keeps, in each of two generations.
+KEPT = 450_000
 #: Pairs of pieces of which a worker remembers whether they may be neighbours.
 FITS = 600_000
 #: Characters of a stretch up to which its prefixes' last pieces are remembered.
 BEGUN = 8
+#: Characters before a position that are looked up together.
+SPAN = 6
+#: Numbers of lone characters begin here.
+_LONE = 1 << 20
 _MARK = "▁"
 
 
@@ -77,10 +82,12 @@ class Codec:
         else:
             self.stretch = lambda text: [text]
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         #: Whether two pieces, by number, may stand side by side; and all that a piece ends with.
         self.fits: dict[int, bool] = {}
         self.number: dict[str, int] = {}
         self.begun: dict[str, tuple[str, int]] = {}
+        self.spans: dict[str, tuple[tuple[int, int, str], ...]] = {}
         self.number.update((p, i + 1) for p, i in self.ids.items())
         self.tails = {p[k:] for p in self.ids for k in range(len(p))}
 
@@ -105,7 +112,7 @@ class Codec:
         n = self.number.get(piece)
         if n is None:
             n = self.ids.get(piece)
-            n = self.number[piece] = n + 1 if n is not None else (1 << 20) + ord(piece) if piece else 0
+            n = self.number[piece] = n + 1 if n is not None else _LONE + ord(piece) if piece else 0
         return n
 
     def _fit(self, a: str, b: str) -> bool:
@@ -117,9 +124,19 @@ class Codec:
             ok = self.fits[key] = self.merged(a + b) == ([a, b] if a else [b])
         return ok
 
-    def _short(self, text: str) -> list[str]:
-        """search() for a stretch within one window of a BPE model: nothing is committed before its end."""
-        known, tails, fits, begun = self.number, self.tails, self.fits, self.begun
+    def _ends(self, text: str, i: int) -> tuple[tuple[int, int, str], ...]:
+        """(length, number, piece) of the pieces that end at i, longest first, down to the single character."""
+        found, j = [], i
+        while j and (j == i or text[j:i] in self.tails):
+            j -= 1
+            piece = text[j:i]
+            if j == i - 1 or piece in self.ids:
+                found.append((i - j, self._number(piece), piece))
+        return tuple(reversed(found))
+
+    def _short(self, text: str) -> bytes:
+        """The ids of a stretch within one window of a BPE model: search() that commits nothing before its end."""
+        fits, begun, spans = self.fits, self.begun, self.spans
         best, numbers = [""], [0]
         # A prefix's last piece depends on nothing after it, and stretches begin alike.
         for i in range(1, min(BEGUN, len(text)) + 1):
@@ -129,32 +146,37 @@ class Codec:
             best.append(last[0])
             numbers.append(last[1])
         for i in range(len(best), len(text) + 1):
-            j = i - 1
-            piece = text[j:i]
-            ends = [piece]
-            while j and piece in tails:
-                j -= 1
-                piece = text[j:i]
-                if piece in known:
-                    ends.append(piece)
-            for piece in reversed(ends):
-                j = i - len(piece)
-                n = known.get(piece) or self._number(piece)
-                ok = fits.get(numbers[j] << 32 | n)
+            # Where the last SPAN characters end no longer piece, they tell all pieces that end here.
+            span = text[i - SPAN : i] if i > SPAN else ""
+            ends = spans.get(span)
+            if ends is None:
+                ends = self._ends(text, i)
+                if span and span not in self.tails and len(spans) < 150_000:
+                    spans[span] = ends
+            for size, n, piece in ends:
+                ok = fits.get(numbers[i - size] << 32 | n)
                 if ok is None:
-                    ok = self._fit(best[j], piece)
+                    ok = self._fit(best[i - size], piece)
                 if ok:
                     break
             best.append(piece)
             numbers.append(n)
-            if i <= BEGUN and len(begun) < KEPT:
+            if i <= BEGUN and len(begun) < 250_000:
                 begun[text[:i]] = piece, n
         out, i = [], len(text)
         while i:
-            out.append(best[i])
+            n = numbers[i]
+            out.append(n - 1 if n < _LONE else -i)
             i -= len(best[i])
-        out.reverse()
-        return out
+        if min(out) < 0:  # characters outside the vocabulary
+            pieces = [self.byte_ids(text[-k - 1]) if k < 0 else [k] for k in reversed(out)]
+            out = [x for some in pieces for x in some]
+        else:
+            out.reverse()
+        return array("i", out).tobytes()
+
+    def byte_ids(self, char: str) -> list[int]:
+        return [self.byte[x] for x in char.encode()] if self.byte else [self.unk]
 
     def _edges(self, text: str, i: int) -> Iterator[str]:
         """Pieces that end at position i, longest first; a character outside the vocabulary is an edge of its own."""
@@ -211,8 +233,8 @@ class Codec:
         out: list[int] = []
         for p in pieces:
             i = self.ids.get(p)
-            out.extend([i] if i is not None else ([self.byte[x] for x in p.encode()] if self.byte else [self.unk]))
-        return np.array(out, "<i4").tobytes()
+            out.extend([i] if i is not None else self.byte_ids(p))
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian 32-bit integers."""
@@ -221,11 +243,15 @@ class Codec:
         kept, quick, out = self.kept, not self.unigram, []
         for part in self.stretch((_MARK if self.prefix else "") + text.replace(" ", _MARK)):
             ids = kept.get(part)
-            if ids is None:
-                ids = self._ids(self._short(part) if quick and len(part) <= self.longest else self.search(part))
+            if ids is None and (ids := self.old.get(part)) is not None:
+                kept[part] = ids
+            elif ids is None:
+                ids = self._short(part) if quick and len(part) <= self.longest else self._ids(self.search(part))
                 if len(part) <= 64:
                     if len(kept) >= KEPT:
-                        kept.clear()
+                        # What is used again moves to the young generation; the rest goes with the old.
+                        self.old, self.kept = kept, {}
+                        kept = self.kept
                     kept[part] = ids
             out.append(ids)
         return b"".join(out)
