@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inference, metrics, relations
+from . import extras, inference, metrics, relations, texts
 
-MODULES = (metrics, relations, inference)
+MODULES = (metrics, relations, inference, texts, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
