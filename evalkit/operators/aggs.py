@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import direction_correct
 from ..schemas import DIFFICULTIES, STATUSES
 
-ONE = F.lit(1)
-
-
 def mean(col: str) -> Column:
     return F.round(F.avg(F.col(col).cast("double")), 6)
 
@@ -89,7 +86,7 @@ SUMMARY = (
 
 def summary(df: DataFrame) -> DataFrame:
     return df.agg(
-        F.count(ONE).alias("total_jobs"), F.countDistinct("model").alias("models_tested"), F.countDistinct("position_id").alias("positions_tested"),
+        F.count(F.lit(1)).alias("total_jobs"), F.countDistinct("model").alias("models_tested"), F.countDistinct("position_id").alias("positions_tested"),
         *(mean(c).alias(c) for c in SUMMARY if c in df.columns),
     )
 
@@ -99,19 +96,19 @@ def profile(positions: DataFrame, dims: Iterable[str] = ("difficulty", "phase",
     dims = list(dims)
     named = positions.select(*(F.coalesce(c, F.lit("unknown")).alias(c) for c in dims))
     pairs = F.array(F.struct(F.lit("total").alias("dim"), F.lit("all").alias("value")), *(F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in dims))
-    return named.select(F.inline(pairs)).groupBy("dim", "value").agg(F.count(ONE).alias("n"))
+    return named.select(F.inline(pairs)).groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_pivot(jobs: DataFrame, models: Iterable[str] | None = None) -> DataFrame:
     if models is not None:
         jobs = jobs.where(F.col("model").isin(*models))
-    return jobs.groupBy("model").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.count(ONE).alias("total"))
+    return jobs.groupBy("model").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.count(F.lit(1)).alias("total"))
 
 
 def job_progress(jobs: DataFrame) -> DataFrame:
     over = F.count_if(F.col("status").isin("done", "failed"))
-    percent = F.coalesce(F.try_divide(over * 100.0, F.count(ONE)), F.lit(0.0))
-    return jobs.agg(F.count(ONE).alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.round(percent, 6).alias("percent"))
+    percent = F.coalesce(F.try_divide(over * 100.0, F.count(F.lit(1))), F.lit(0.0))
+    return jobs.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.round(percent, 6).alias("percent"))
 
 
 def dashboard(df: DataFrame, keys: Iterable[str], models: Iterable[str]) -> DataFrame:
@@ -122,7 +119,7 @@ def dashboard(df: DataFrame, keys: Iterable[str], models: Iterable[str]) -> Data
     shown = df.where(F.col("model").isin(*models)).withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown")))
     avg = lambda c: F.round(F.avg(c.cast("double")), 6)
     return shown.groupBy(*keys).agg(
-        F.count(ONE).alias("n"),
+        F.count(F.lit(1)).alias("n"),
         avg(F.when(t1, F.col("t1_absolute_error"))).alias("t1_error"),
         avg(F.when(t1, right)).alias("t1_direction"),
         avg(F.when(t2, F.coalesce("t2_legal", F.lit(False)))).alias("t2_legal"),
@@ -134,7 +131,7 @@ def dashboard(df: DataFrame, keys: Iterable[str], models: Iterable[str]) -> Data
 def completion(df: DataFrame, models: DataFrame, target: int, enough: int) -> DataFrame:
     """For each model and tier the count, whether it is complete, and the percentage; tiers without rows count 0."""
     tiers = models.sparkSession.createDataFrame([(t, k) for k, t in enumerate(DIFFICULTIES)], "difficulty string, tier_order int")
-    counts = df.groupBy("model", "difficulty").agg(F.count(ONE).alias("n"))
+    counts = df.groupBy("model", "difficulty").agg(F.count(F.lit(1)).alias("n"))
     grid = F.broadcast(models.select("model").crossJoin(tiers))
     out = grid.join(counts, ["model", "difficulty"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.select("model", "difficulty", "tier_order", "n", (F.col("n") >= enough).alias("complete"), F.bround(F.col("n") * 100.0 / target, 1).alias("percent"))
@@ -150,7 +147,7 @@ def family_scaling(df: DataFrame) -> DataFrame:
     """Smallest against largest size of each family that has two sizes or more."""
     sizes = grouped(df.where(F.col("model_size_b").isNotNull()), ["model_family", "model_size_b"], t1="mean:t1_absolute_error", t2="mean:t2_cpl", t3="mean:t3_score")
     ends = sizes.groupBy("model_family").agg(
-        F.count(ONE).alias("n_sizes"), F.min("model_size_b").alias("small"), F.max("model_size_b").alias("large"),
+        F.count(F.lit(1)).alias("n_sizes"), F.min("model_size_b").alias("small"), F.max("model_size_b").alias("large"),
         *(f(c, "model_size_b").alias(f"{c}_{n}") for c in ("t1", "t2", "t3") for n, f in (("small", F.min_by), ("large", F.max_by))),
     ).where("n_sizes >= 2")
     better = {"better_t1": F.col("t1_large") < F.col("t1_small"), "better_t2": F.col("t2_large") < F.col("t2_small"), "better_t3": F.col("t3_large") > F.col("t3_small")}
@@ -160,9 +157,9 @@ def family_scaling(df: DataFrame) -> DataFrame:
 
 def validation_report(df: DataFrame) -> DataFrame:
     return df.groupBy("model").agg(
-        F.count(ONE).alias("total"), F.count_if(F.col("t2_legal")).alias("legal"), F.count_if(F.col("t1_model_eval").isNull()).alias("no_eval"),
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("t2_legal")).alias("legal"), F.count_if(F.col("t1_model_eval").isNull()).alias("no_eval"),
         F.count_if(F.col("t2_move").isNull()).alias("no_move"), F.count_if(F.col("t3_explanation").isNull()).alias("no_explanation"),
-        F.round(F.count_if(F.col("t2_legal")) * 100.0 / F.count(ONE), 6).alias("legal_percent"), mean("t3_score").alias("t3_mean"),
+        F.round(F.count_if(F.col("t2_legal")) * 100.0 / F.count(F.lit(1)), 6).alias("legal_percent"), mean("t3_score").alias("t3_mean"),
         F.array_join(F.array_sort(F.collect_set("difficulty")), ",").alias("tiers"),
     )
 
@@ -173,7 +170,7 @@ def cpl_buckets(df: DataFrame, bounds: Iterable[int] = (25, 100, 500, 1000)) ->
     label = F.lit(f">={bounds[-1]}")
     for k in reversed(range(len(bounds))):
         label = F.when(F.col("t2_cpl") < bounds[k], f"<{bounds[0]}" if k == 0 else f"{bounds[k - 1]}-{bounds[k]}").otherwise(label)
-    n = df.where("t2_cpl is not null").groupBy(label.alias("bucket")).agg(F.count(ONE).alias("n"))
+    n = df.where("t2_cpl is not null").groupBy(label.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     # One row per bucket: the only window without partitions.
     return n.select("bucket", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
@@ -187,11 +184,11 @@ def blunders(df: DataFrame, limit: int = 1000) -> DataFrame:
 
 def active_model(df: DataFrame, target: int) -> DataFrame:
     """Of the models with fewer rows than the target, the one with the latest row."""
-    latest = df.where("model is not null").groupBy("model").agg(F.count(ONE).alias("n"), F.max("ts").alias("latest")).where(F.col("n") < target)
+    latest = df.where("model is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest")).where(F.col("n") < target)
     return latest.agg(F.max(F.struct("latest", "model")).alias("top")).select("top.model", "top.latest")
 
 
 def job_estimate(positions: DataFrame, models: int, formats: int, share: float = 0.2) -> DataFrame:
-    n = F.count(ONE) * models * formats
+    n = F.count(F.lit(1)) * models * formats
     corrections = (n * share * 2).cast("long")
-    return positions.agg(F.count(ONE).alias("positions"), n.alias("standard_jobs"), corrections.alias("correction_jobs"), (n + corrections).alias("total_jobs"))
+    return positions.agg(F.count(F.lit(1)).alias("positions"), n.alias("standard_jobs"), corrections.alias("correction_jobs"), (n + corrections).alias("total_jobs"))
