@@ -33,7 +33,7 @@ from .common import documents
 from .textscan import Slice, slices, word_hashes, words
 
 #: Labelled rows that the fit uses at most, and the share of them that calibrates.
-SAMPLE, CALIBRATE = 20_000, 0.2
+SAMPLE, CALIBRATE = 10_000, 0.2
 FOLDS, THRESHOLD = 5, 0.3
 SMOOTH, COST, SWEEPS = 1.0, 0.1, 12
 _TRI_BITS = 17
