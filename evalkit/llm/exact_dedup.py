@@ -37,17 +37,24 @@ from .common import Scratch, documents
 from .textscan import LOWER, slices
 
 BLOCK = 4096
+#: Blocks that a task remembers to have handed on.
+SENT = 200_000
 
 
 def _blocks(size: int, contents: bool):
-    """Rows (hash, block) of the distinct blocks of each slice, or (doc_id, row digest, block hashes)."""
+    """Rows (hash, block) of a task's distinct blocks, or (doc_id, row digest, block hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for s in slices(batches):
             data = LOWER[s.data].tobytes()
             if contents:
                 seen = {data[p : min(p + size, b)] for a, b in zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True) for p in range(a, max(b, a + 1), size)}
-                found = list(seen)
+                digests = {x: hashlib.sha256(x).digest() for x in seen}
+                found = [x for x, d in digests.items() if d not in sent]
+                if len(sent) > SENT:
+                    sent.clear()
+                sent.update(digests.values())
                 yield pa.record_batch([pa.array([_hash(x) for x in found], pa.int64()), pa.array(found, pa.binary())], ["h", "block"])
             else:
                 sha, names = [], []
@@ -73,9 +80,11 @@ def _named(distinct: DataFrame, *keys: str) -> DataFrame:
 def block_identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: row, doc_id, sha (of the normalised text), levels, name."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    distinct = raw.select("text").mapInArrow(_blocks(block, True), "h long, block binary").groupBy("h", "block").agg(F.lit(1).alias("one"))
+    # Tasks hand on a block once, so one exchange by hash serves the grouping, the sort and the look for equal hashes.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = raw.select("text").mapInArrow(_blocks(block, True), "h long, block binary").repartition(parts, "h").groupBy("h", "block").agg(F.lit(1).alias("one"))
     alike = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    names = _named(distinct, "h", "block").withColumn("alike", alike)
+    names = distinct.sortWithinPartitions("h", "block").withColumn("name", F.monotonically_increasing_id() + 1).withColumn("alike", alike)
     names = scratch.save(names.select("h", "name", F.when(F.col("alike") > 1, F.col("block")).alias("block")))
 
     rows = raw.mapInArrow(_blocks(block, False), "doc_id long, sha binary, hs array<long>")
