@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extras, inference, metrics, relations, texts
+from . import extras, inference, metrics, pipelines, relations, texts
 
-MODULES = (metrics, relations, inference, texts, extras)
+MODULES = (metrics, relations, inference, texts, pipelines, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
