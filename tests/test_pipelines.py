@@ -29,7 +29,7 @@ def test_jobs_run_from_prompt_to_record(spark):
 
     class Fixed(Stub):
         def __call__(self, model, prompt):
-            return "Eval: 40\nMove: e2e4\nExplanation: Equal - a fork"
+            return "Eval: 40\nMove: e4\nExplanation: Equal - a fork"
 
     got = {r.prompt_format: r for r in P.run_jobs(jobs, dataset, Fixed).collect()}
     assert (got["cot"].t1_absolute_error, got["cot"].t2_move, got["cot"].t2_legal, got["cot"].t2_cpl, got["cot"].t3_score) == (10, "e4", True, 0, 2.0)
