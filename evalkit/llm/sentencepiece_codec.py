@@ -42,10 +42,13 @@ KEPT = 450_000
 FITS = 600_000
 #: Characters of a stretch up to which its prefixes' last pieces are remembered.
 BEGUN = 8
+#: Beginnings and last characters that a worker remembers.
+REMEMBERED = 400_000
 #: Characters before a position that are looked up together.
 SPAN = 6
 #: Numbers of lone characters begin here.
 _LONE = 1 << 20
+_NONE = float("-inf")
 _MARK = "▁"
 
 
@@ -88,6 +91,7 @@ class Codec:
         self.number: dict[str, int] = {}
         self.begun: dict[str, tuple[str, int]] = {}
         self.spans: dict[str, tuple[tuple[int, int, str], ...]] = {}
+        self.edges: dict[str, tuple[int, int, str]] = {}
         self.number.update((p, i + 1) for p, i in self.ids.items())
         self.tails = {p[k:] for p in self.ids for k in range(len(p))}
 
@@ -98,13 +102,19 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """The BPE pieces of a short text, by merging: what decides whether two pieces may stand side by side."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
+        parts, score = list(text), self.score
+        gain = [score.get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while gain:
+            best = max(gain)
+            if best == _NONE:
                 break
-            k = -best[1]
+            k = gain.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del gain[k]
+            if k:
+                gain[k - 1] = score.get(parts[k - 1] + parts[k], _NONE)
+            if k < len(gain):
+                gain[k] = score.get(parts[k] + parts[k + 1], _NONE)
         return parts
 
     def _number(self, piece: str) -> int:
@@ -131,7 +141,10 @@ class Codec:
             j -= 1
             piece = text[j:i]
             if j == i - 1 or piece in self.ids:
-                found.append((i - j, self._number(piece), piece))
+                edge = self.edges.get(piece)
+                if edge is None:
+                    edge = self.edges[piece] = (i - j, self._number(piece), piece)
+                found.append(edge)
         return tuple(reversed(found))
 
     def _short(self, text: str) -> bytes:
@@ -151,7 +164,7 @@ class Codec:
             ends = spans.get(span)
             if ends is None:
                 ends = self._ends(text, i)
-                if span and span not in self.tails and len(spans) < 150_000:
+                if span and span not in self.tails and len(spans) < REMEMBERED:
                     spans[span] = ends
             for size, n, piece in ends:
                 ok = fits.get(numbers[i - size] << 32 | n)
@@ -161,7 +174,7 @@ class Codec:
                     break
             best.append(piece)
             numbers.append(n)
-            if i <= BEGUN and len(begun) < 250_000:
+            if i <= BEGUN and len(begun) < REMEMBERED:
                 begun[text[:i]] = piece, n
         out, i = [], len(text)
         while i:
@@ -246,7 +259,7 @@ class Codec:
             if ids is None and (ids := self.old.get(part)) is not None:
                 kept[part] = ids
             elif ids is None:
-                ids = self._short(part) if quick and len(part) <= self.longest else self._ids(self.search(part))
+                ids = self._short(part) if quick and len(part) < 2 * self.longest else self._ids(self.search(part))
                 if len(part) <= 64:
                     if len(kept) >= KEPT:
                         # What is used again moves to the young generation; the rest goes with the old.
