@@ -37,13 +37,13 @@ from .common import documents
 
 MODEL = "piece_bpe_32k.model"
 #: Stretches whose ids a worker keeps, in each of two generations.
-KEPT = 450_000
+KEPT = 200_000
 #: Pairs of pieces of which a worker remembers whether they may be neighbours.
-FITS = 600_000
+FITS = 300_000
 #: Characters of a stretch up to which its prefixes' last pieces are remembered.
 BEGUN = 8
 #: Beginnings and last characters that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters before a position that are looked up together.
 SPAN = 6
 #: Numbers of lone characters begin here.
