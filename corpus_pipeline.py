@@ -21,8 +21,11 @@ from evalkit.session import ship
 
 
 def _ids_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is in ids (null equals null)."""
-    named = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
+    """The rows of docs, with all their columns, whose doc_id is in ids (null equals null).
+
+    A merge join at every size: the ids grow with the documents and are never broadcast.
+    """
+    named = ids.select(F.col("doc_id").alias("_kept_id")).distinct().hint("merge")
     return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept_id"]), "left_semi").select(*docs.columns)
 
 
