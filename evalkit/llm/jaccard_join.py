@@ -77,7 +77,7 @@ def _count(bits: int, size: int):
         for s in slices(batches):
             found = list(shingles(s, size))
             if found:
-                total += np.bincount((np.concatenate(found) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                np.add.at(total, (np.concatenate(found) >> _U(64 - bits)).astype(np.int64), np.uint32(1))
         chunks = [k for k in range(0, 1 << bits, _CHUNK) if total[k : k + _CHUNK].any()]
         if chunks:
             packed = [pa.compress(total[k : k + _CHUNK].tobytes(), "zstd", asbytes=True) for k in chunks]

@@ -1,6 +1,6 @@
 """Vectorised scans over the UTF-8 buffers of Arrow batches: words, their hashes, windows.
 
-Everything works on slices of a few MB (a longer text is a slice of its own), so memory
+Everything works on slices of half a MB (a longer text is a slice of its own), so memory
 does not depend on how Spark cuts its batches.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
