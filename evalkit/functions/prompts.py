@@ -51,6 +51,29 @@ Legal moves: {legal}
 
 What is the best move for {side}? You MUST pick one of the listed legal moves. Respond with the SAN move only."""
 
+NOT_LEGAL = 'Your previous move "{move}" is not legal in this position.'
+NO_MOVE = "You did not provide a move for this position."
+RETRY = """
+
+Position (FEN): {fen}
+
+The complete list of legal moves in SAN notation is:
+{legal}
+
+Pick the best move from the list above. Output only the move — no explanation, no move numbers."""
+FEEDBACK = """Your move was not the best.
+
+Position: {fen}
+Your move: {move}
+Best move: {best}
+
+Explain why {best} is stronger. Then answer the same three questions
+for the following new position of the same type.
+
+---
+
+"""
+
 
 def fill(template: str, **values: Column) -> Column:
     out = F.lit(template)
@@ -73,3 +96,14 @@ def build(fen: Column, moves: Column, fmt: Column, legal: Column | None = None)
         .when(fmt == "pgn+fen", F.concat(F.lit(INTRO), told, at, F.lit(QUESTIONS + FORMAT)))
         .otherwise(F.concat(F.lit(INTRO), at, F.lit(QUESTIONS + FORMAT)))
     )
+
+
+def retry(fen: Column, move: Column, legal: Column) -> Column:
+    """Asks again after an illegal or a missing move."""
+    problem = F.when(F.coalesce(move, F.lit("")) != "", fill(NOT_LEGAL, move=move)).otherwise(NO_MOVE)
+    return F.concat(problem, fill(RETRY, fen=fen, legal=F.array_join(legal, ", ")))
+
+
+def correction(fen: Column, move: Column, best: Column, next_fen: Column, next_moves: Column, fmt: Column) -> Column:
+    """Feedback on a move, followed by the prompt of another position."""
+    return F.concat(fill(FEEDBACK, fen=fen, move=move, best=best), build(next_fen, next_moves, fmt))

@@ -166,6 +166,17 @@ QUERIES = {
     ),
     "parse_explanation": (lambda s, d: _answers(s, d).select("conv_id", "turn", parser.parse(F.col("answer"), F.lit("explanation_only")).alias("p")).select("conv_id", "turn", "p.eval", "p.explanation", "p.side_claimed"), None),
     "prompts": (lambda s, d: positions(evals(s, d)).where("position_id < 12").select("position_id", F.explode(F.array(*map(F.lit, ("fen_only", "pgn+fen", "cot", "eval_only", "explanation_only", "move_only")))).alias("fmt"), "fen").select("position_id", "fmt", prompts.build(F.col("fen"), F.lit("1. e4 e5"), F.col("fmt"), board_udfs.legal_moves("fen")).alias("prompt")), None),
+    "follow_up_prompts": (
+        lambda s, d: evals(s, d).where("event_id < 300 and t2_move is not null").select(
+            "event_id",
+            F.md5(prompts.retry(F.col("fen"), F.when(F.col("event_id") % 3 > 0, F.col("t2_move")), F.array(F.lit("e4"), F.lit("d4")))).alias("retry"),
+            F.md5(prompts.correction(F.col("fen"), F.col("t2_move"), F.col("t2_best_move"), F.lit("F2"), F.lit(""), F.lit("fen_only"))).alias("correction"),
+        ),
+        f"""{WITH} SELECT event_id, md5(CASE WHEN event_id % 3 > 0 THEN 'Your previous move "' || t2_move || '" is not legal in this position.' ELSE '{prompts.NO_MOVE}' END
+        || replace(replace('{prompts.RETRY}', '{{fen}}', fen), '{{legal}}', 'e4, d4')) AS retry,
+        md5(replace(replace(replace('{prompts.FEEDBACK}', '{{fen}}', fen), '{{move}}', t2_move), '{{best}}', t2_best_move) || '{(prompts.INTRO + prompts.FEN.replace("{fen}", "F2") + prompts.QUESTIONS + prompts.FORMAT).replace("'", "''")}') AS correction
+        FROM evals WHERE event_id < 300 AND t2_move IS NOT NULL""",
+    ),
     "legal_moves": (lambda s, d: _boards(s, d).select("position_id", F.size(board_udfs.legal_moves("fen")).alias("n"), F.array_sort(board_udfs.legal_moves("fen")).alias("moves")), None),
     "move_legality": (lambda s, d: _boards(s, d).select("position_id", board_udfs.is_legal("fen", F.lit("Nc3")).alias("legal"), board_udfs.fen_after("fen", F.lit("Nc3")).alias("after")), None),
     "rescue_move": (lambda s, d: _boards(s, d).select("position_id", board_udfs.rescue_move("fen", F.lit("I would play 12...Qxh9, or g1f3! maybe Kd2.")).alias("move")), None),
