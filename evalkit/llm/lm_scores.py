@@ -13,10 +13,13 @@ with all c from the filter and m = 0 for a history it doesn't hold.
 1. One scan counts words. Distinct words go to a table (exact, one row each).
 2. One scan counts unigrams and bigrams into hash buckets, as packed arrays that are
    pre-aggregated per task; each bucket, of about BUCKET_TOKENS tokens whatever the size
-   of the corpus, becomes one block of the filter. N-grams seen fewer than MIN_COUNT times
-   are not inserted.
-3. One scan scores. It gets the filter (FILTER_BYTES at most: beyond that, blocks are
-   filled more densely and probes err more often) and the exact counts of the most frequent
+   of the corpus, becomes one block of the filter, of BITS bits per inserted level. N-grams
+   seen fewer than MIN_COUNT times are not inserted. Blocks are a table in the shared folder
+   that grows with the corpus; no process holds them all.
+3. Rows are grouped into units of about UNIT_BYTES of text, and each unit's distinct
+   n-grams are listed by bucket. Requests meet their block in a join on the bucket, which
+   answers with one byte, the level, for each n-gram; answers meet their unit's rows in a
+   join on the unit, which scores them. It also gets the exact counts of the most frequent
    words (HOT_WORDS at most). Base scores are exact: words outside the hot table are
    joined with the exact count table and come back as one sum per document.
 
@@ -30,6 +33,7 @@ scores; without any training row N = V = 0 and each token's probability is 1.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +49,9 @@ from .textscan import LOWER, Slice, mix, slices, word_hashes, words
 FOLDS, HELD_OUT = 7, 2
 BASE, MIN_COUNT, PROBES, BITS = 1.5, 2, 4, 10
 LAMBDA, PRIOR = 0.6, 30.0
-HOT_WORDS, FILTER_BYTES, BUCKET_TOKENS = 1_000_000, 64 << 20, 1 << 20
+HOT_WORDS, BUCKET_TOKENS = 1_000_000, 1 << 20
+#: Bytes of text that are scored together.
+UNIT_BYTES = 8 << 20
 #: Entries that a task gathers before it hands them on.
 GATHERED = 2_000_000
 _U = np.uint64
@@ -167,8 +173,8 @@ def _probe(inner: np.ndarray, level: np.ndarray | int, probe: int, bits: np.ndar
         return (mix(x) % np.asarray(bits, _U)).astype(np.int64)
 
 
-def _block(most_bits: int):
-    """Builds a bucket's block of the filter from its packed counts."""
+def _block(most_bits: int | None = None):
+    """Builds a bucket's block of the filter from its packed counts: BITS bits per inserted level, or most_bits at most."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, counts = [], []
@@ -179,7 +185,8 @@ def _block(most_bits: int):
         k, c = _summed(np.concatenate(keys), np.concatenate(counts))
         k, c = k[c >= MIN_COUNT], c[c >= MIN_COUNT]
         top = levels(c)
-        bits = int(min(max(64, BITS * int(top.sum())), most_bits))
+        bits = max(64, BITS * int(top.sum()))
+        bits = bits if most_bits is None else min(bits, most_bits)
         bits += -bits % 8
         on = np.zeros(bits, bool)
         for level in range(1, int(top.max(initial=0)) + 1):
@@ -191,6 +198,23 @@ def _block(most_bits: int):
     return run
 
 
+def _read_levels(inner: np.ndarray, data: np.ndarray, offset: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The levels of n-grams, by probing one level after the other; offset and bits are those of each one's block in data."""
+    level, alive, at = np.zeros(len(inner), np.int64), np.arange(len(inner)), 1
+    while len(alive):
+        for p in range(PROBES):
+            i = offset[alive] + _probe(inner[alive], at, p, bits[alive])
+            alive = alive[(data[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0]
+        level[alive] = at
+        at += 1
+    return level
+
+
+def _known(level: np.ndarray) -> np.ndarray:
+    """Counts of levels; a level below that of MIN_COUNT can only be read by chance."""
+    return count_of(np.where(level >= int(levels(np.array([MIN_COUNT]))[0]), level, 0))
+
+
 @dataclass
 class Filter:
     """The blocks one after another; offset and bits of each bucket's block."""
@@ -211,44 +235,114 @@ class Filter:
         shift = _U(64 - (len(self.bits).bit_length() - 1))
         bucket, inner = (keys >> shift).astype(np.int64), _inner(keys, shift)
         offset, bits = self.offset[bucket], self.bits[bucket]
-        level, alive, at = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(alive):
-            for p in range(PROBES):
-                i = offset[alive] + _probe(inner[alive], at, p, bits[alive])
-                alive = alive[(self.data[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0]
-            level[alive] = at
-            at += 1
-        return count_of(np.where(level >= int(levels(np.array([MIN_COUNT]))[0]), level, 0))
+        return _known(_read_levels(inner, self.data, offset, bits))
+
+
+@dataclass
+class Blocks:
+    """The filter as a table (bucket, block), and the number of buckets."""
+
+    table: DataFrame
+    buckets: int
 
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Blocks
     hot: np.ndarray
     hot_counts: np.ndarray
     tokens: int
     distinct: int
 
-    def score(self, s: Slice) -> tuple[np.ndarray, ...]:
-        """For each row of a slice: n_tokens, known hot tokens, sum of log10(c + 1) over hot tokens, score; and the tokens that aren't hot."""
-        tokens, starts = token_hashes(s)
-        total = np.float64(max(self.tokens + self.distinct + 1, 1))
-        word, which = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hot, word), max(len(self.hot) - 1, 0))
-        is_hot = self.hot[at] == word if len(self.hot) else np.zeros(len(word), bool)
-        exact = np.where(is_hot, self.hot_counts[at], 0) if len(self.hot) else np.zeros(len(word), np.int64)
-        before, pairs = bigram_hashes(tokens, starts)
-        pair, which_pair = np.unique(pairs, return_inverse=True)
-        c_word, c_pair = self.filter.counts(word), self.filter.counts(pair)[which_pair]
-        c_begin = self.filter.counts(np.array([_BEGIN], _U))[0]
-        c_before = np.empty(len(tokens))
-        c_before[1:] = c_word[which[:-1]]
-        c_before[starts[:-1]] = c_begin
-        m = LAMBDA * c_before / (c_before + PRIOR)
-        p = m * np.minimum(c_pair / np.maximum(c_before, 1), 1) + (1 - m) * (c_word[which] + 1) / total
-        hot = is_hot[which]
-        add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  each row has a token at least
-        return np.diff(starts), add((hot & (exact[which] > 0)).astype(np.int64)), add(np.where(hot, np.log10(exact[which] + 1.0), 0.0)), add(np.log10(np.minimum(p, 1.0))), tokens, starts, hot
+
+def _ngrams(tokens: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    return np.concatenate([tokens, pairs, np.array([_BEGIN], _U)])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the unit that they belong to."""
+    names, unit, size = ["k_id", "k_tx", "doc_id", "text"], 0, UNIT_BYTES
+    for s in slices(batches):
+        if size >= UNIT_BYTES:
+            unit, size = int.from_bytes(os.urandom(8), "little", signed=True), 0
+        size += len(s.data)
+        yield pa.record_batch([pa.array(np.full(len(s), unit)), *(s.rows.column(c) for c in names)], ["unit", *names])
+
+
+def _requests(buckets: int):
+    """A unit's distinct n-grams: one row (unit, bucket, keys) for each bucket."""
+    shift = _U(64 - (buckets.bit_length() - 1))
+
+    def run(rows: pa.Table) -> pa.Table:
+        grams = []
+        for s in slices(iter(rows.to_batches())):
+            tokens, starts = token_hashes(s)
+            grams.append(np.unique(_ngrams(tokens, bigram_hashes(tokens, starts)[1])))
+        k = np.unique(np.concatenate(grams))
+        bucket = (k >> shift).astype(np.int32)
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = pa.py_buffer(np.append(at, len(k)).astype(np.int32) * 4)
+        keys = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(_inner(k, shift))])
+        return pa.table({"unit": pa.array(np.full(len(at), rows["unit"][0].as_py())), "bucket": pa.array(bucket[at]), "keys": keys})
+
+    return run
+
+
+def _answer(requests: pa.Table, blocks: pa.Table) -> pa.Table:
+    """(unit, bucket, levels) for the requests of a bucket: a byte for each n-gram."""
+    keys = requests["keys"].to_pylist()
+    size = np.array([len(k) // 4 for k in keys], np.int64)
+    inner = np.frombuffer(b"".join(keys), np.uint32)
+    level = np.zeros(len(inner), np.uint8)
+    if blocks.num_rows and len(inner):
+        data = np.frombuffer(blocks["block"][0].as_py(), np.uint8)
+        distinct, which = np.unique(inner, return_inverse=True)
+        level = _read_levels(distinct, data, np.zeros(len(distinct), np.int64), np.full(len(distinct), len(data) * 8)).astype(np.uint8)[which]
+    cut = np.concatenate([[0], np.cumsum(size)])
+    parts = [level[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table({"unit": requests["unit"], "bucket": requests["bucket"], "levels": pa.array(parts, pa.binary())})
+
+
+_SCORED = ["k_id", "k_tx", "doc_id", "n", "known", "base", "score", "rest"]
+
+
+def _score_unit(shared):
+    """For each row of a unit: n tokens, known hot tokens, sum of log10(c + 1) over hot tokens, score; and the tokens that aren't hot."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        all_hot, hot_counts, n_tokens, distinct = shared.value
+        total = np.float64(max(n_tokens + distinct + 1, 1))
+        parts = []
+        for s in slices(iter(rows.combine_chunks().to_batches())):
+            tokens, starts = token_hashes(s)
+            parts.append((s, tokens, starts, *bigram_hashes(tokens, starts)))
+        grams = np.unique(np.concatenate([_ngrams(tokens, pairs) for _, tokens, _, _, pairs in parts]))
+        got = dict(zip(answers["bucket"].to_pylist(), answers["levels"].to_pylist(), strict=True))
+        level = np.frombuffer(b"".join(got[b] for b in sorted(got)), np.uint8)
+        if len(level) != len(grams):
+            raise ValueError(f"{len(level)} levels for {len(grams)} n-grams")
+        counts = _known(level.astype(np.int64))
+        out = []
+        for s, tokens, starts, before, pairs in parts:
+            word, which = np.unique(tokens, return_inverse=True)
+            at = np.minimum(np.searchsorted(all_hot, word), max(len(all_hot) - 1, 0))
+            is_hot = all_hot[at] == word if len(all_hot) else np.zeros(len(word), bool)
+            exact = np.where(is_hot, hot_counts[at], 0) if len(all_hot) else np.zeros(len(word), np.int64)
+            c_word, c_pair = counts[np.searchsorted(grams, word)][which], counts[np.searchsorted(grams, pairs)]
+            c_before = np.empty(len(tokens))
+            c_before[1:] = c_word[:-1]
+            c_before[starts[:-1]] = counts[np.searchsorted(grams, _U(_BEGIN))]
+            m = LAMBDA * c_before / (c_before + PRIOR)
+            p = m * np.minimum(c_pair / np.maximum(c_before, 1), 1) + (1 - m) * (c_word + 1) / total
+            hot = is_hot[which]
+            add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: B023, E731  each row has a token at least
+            cold = np.concatenate([[0], np.cumsum(~hot)])[starts].astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(cold), pa.array(tokens[~hot].view(np.int64)))
+            known, base = add((hot & (exact[which] > 0)).astype(np.int64)), add(np.where(hot, np.log10(exact[which] + 1.0), 0.0))
+            out.append(pa.record_batch([*(s.rows.column(c) for c in _SCORED[:3]), pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(add(np.log10(np.minimum(p, 1.0)))), rest], _SCORED))
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
@@ -269,25 +363,20 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
 
     buckets = 1 << max(6, (max(tokens, 1) * 2 // BUCKET_TOKENS).bit_length())
     packed = texts.mapInArrow(_count_ngrams(buckets), "bucket int, keys binary, counts binary")
-    blocks = packed.groupBy("bucket").applyInArrow(_block(FILTER_BYTES * 8 // buckets), "bucket int, block binary").toArrow()
-    kept = Filter.of(dict(zip(blocks["bucket"].to_pylist(), blocks["block"].to_pylist(), strict=True)), buckets)
-    return Model(kept, hot[order], c[order], tokens, distinct), counts
+    blocks = scratch.save(packed.groupBy("bucket").applyInArrow(_block(), "bucket int, block binary"))
+    return Model(Blocks(blocks, buckets), hot[order], c[order], tokens, distinct), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            n, known, base, score, tokens, starts, hot = shared.value.score(s)
-            cold = np.concatenate([[0], np.cumsum(~hot)])[starts].astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(cold), pa.array(tokens[~hot].view(np.int64)))
-            yield pa.record_batch([*(s.rows.column(c) for c in ("k_id", "k_tx", "doc_id")), pa.array(n), pa.array(known), pa.array(base), pa.array(score), rest], ["k_id", "k_tx", "doc_id", "n", "known", "base", "score", "rest"])
-
-    rows = keyed(docs).mapInArrow(run, "k_id long, k_tx long, doc_id long, n long, known long, base double, score double, rest array<long>")
+    units = scratch.save(keyed(docs).mapInArrow(_units, "unit long, k_id long, k_tx long, doc_id long, text string"))  # written, as the units' names are random
+    requests = units.groupBy("unit").applyInArrow(_requests(model.filter.buckets), "unit long, bucket int, keys binary")
+    answers = requests.groupBy("bucket").cogroup(model.filter.table.groupBy("bucket")).applyInArrow(_answer, "unit long, bucket int, levels binary")
+    shared = docs.sparkSession.sparkContext.broadcast((model.hot, model.hot_counts, model.tokens, model.distinct))
+    rows = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_unit(shared), "k_id long, k_tx long, doc_id long, n long, known long, base double, score double, rest array<long>")
     rows = scratch.save(rows)
     shared.destroy()
+    scratch.drop(units)
     rest = rows.where(F.size("rest") > 0).groupBy("k_id", "k_tx").agg(F.first("rest").alias("rest"))
     rest = rest.select("k_id", "k_tx", F.explode("rest").alias("h")).join(counts, "h")
     tail = rest.groupBy("k_id", "k_tx").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
