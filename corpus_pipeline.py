@@ -20,6 +20,10 @@ from evalkit.llm.common import Scratch
 from evalkit.session import ship
 
 
+#: What the near stage takes for a near copy; the query op9 has its own numbers.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _ids_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is in ids (null equals null).
 
@@ -42,9 +46,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, keeps the document with the smallest doc_id."""
+    """Of each component of the Jaccard join on 5-word shingles at 0.8, keeps the document with the smallest doc_id."""
     ship(spark)
-    return _ids_in(docs, jaccard_join.jaccard_components(docs).where("doc_id <=> component_id"))
+    return _ids_in(docs, jaccard_join.jaccard_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <=> component_id"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,21 @@ def test_stages_take_odd_rows(spark, sf):
         assert out.columns == docs.columns and {r.doc_id for r in out.collect()} <= {i for i, _ in corpus()}
 
 
+def test_near_stage_takes_five_words_and_four_fifths(spark, sf):
+    """Pairs between 0.80 and 0.85 go, pairs below 0.80 stay."""
+    sets = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    rows, near = [], []
+    for k, length in enumerate((99, 104, 110, 80)):
+        words = [f"d{k}w{n}" for n in range(length)]
+        other = [*words[:25], "x", *words[26:70], "y", *words[71:]]  # two changed words, five shingles each
+        x, y = sets(words), sets(other)
+        near.append(len(x & y) / len(x | y))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert all(0.80 <= v < 0.85 for v in near[:3]) and near[3] < 0.80
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, frame(spark, rows), sf).collect()}
+    assert kept == {0, 2, 4, 6, 7}
+
+
 def test_every_query_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
