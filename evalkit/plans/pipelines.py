@@ -122,7 +122,7 @@ QUERIES = {
         WHERE difficulty = 'easy' AND NOT (position_id < 100 AND prompt_format = 'cot')""",
     ),
     "job_execution": (
-        lambda s, d: run_jobs(evals(s, d).where("event_id < 120").select("job_id", "job_type", "position_id", "model", "prompt_format", "status"), positions(evals(s, d)), generate.Stub),
+        lambda s, d: run_jobs(evals(s, d).select("job_id", "job_type", "position_id", "model", "prompt_format", "status"), positions(evals(s, d)), generate.Stub),
         None,
     ),
     "metric_suite_sizes": (

@@ -63,11 +63,11 @@ def _parse_labelled(s, d):
 
 
 def _boards(s, d):
-    return positions(evals(s, d)).where("position_id < 40").select("position_id", "fen")
+    return positions(evals(s, d)).select("position_id", "fen")
 
 
 def _stub(s, d):
-    jobs = evals(s, d).where("event_id < 400").select("job_id", "model", prompts.build(F.col("fen"), F.lit(""), F.col("prompt_format")).alias("prompt"))
+    jobs = evals(s, d).select("job_id", "model", prompts.build(F.col("fen"), F.lit(""), F.col("prompt_format")).alias("prompt"))
     out = generate.infer(jobs, generate.Stub)
     p = parser.parse(F.col("response"))
     return out.select("job_id", "model", "success", p.alias("p")).select("job_id", "model", "success", "p.eval", "p.move", "p.side_claimed")
@@ -165,7 +165,7 @@ QUERIES = {
         "SELECT conv_id, turn, (conv_id * 7 + turn * 13) % 900 - 450 AS eval FROM conversations",
     ),
     "parse_explanation": (lambda s, d: _answers(s, d).select("conv_id", "turn", parser.parse(F.col("answer"), F.lit("explanation_only")).alias("p")).select("conv_id", "turn", "p.eval", "p.explanation", "p.side_claimed"), None),
-    "prompts": (lambda s, d: positions(evals(s, d)).where("position_id < 12").select("position_id", F.explode(F.array(*map(F.lit, ("fen_only", "pgn+fen", "cot", "eval_only", "explanation_only", "move_only")))).alias("fmt"), "fen").select("position_id", "fmt", prompts.build(F.col("fen"), F.lit("1. e4 e5"), F.col("fmt"), board_udfs.legal_moves("fen")).alias("prompt")), None),
+    "prompts": (lambda s, d: positions(evals(s, d)).select("position_id", F.explode(F.array(*map(F.lit, ("fen_only", "pgn+fen", "cot", "eval_only", "explanation_only", "move_only")))).alias("fmt"), "fen").select("position_id", "fmt", prompts.build(F.col("fen"), F.lit("1. e4 e5"), F.col("fmt"), board_udfs.legal_moves("fen")).alias("prompt")), None),
     "follow_up_prompts": (
         lambda s, d: evals(s, d).where("event_id < 300 and t2_move is not null").select(
             "event_id",
