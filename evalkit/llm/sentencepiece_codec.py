@@ -8,16 +8,26 @@ gives back exactly these two pieces, minus infinity otherwise. A piece sequence
 encoding of a text if and only if all its neighbours satisfy this, so each prefix has one
 best last piece and the search gives the library's own ids.
 
-The search streams: it keeps the positions within one maximum piece length, and commits
-ids as soon as the backpointer paths of all of them meet in one boundary, which it drops
-everything before. Where no piece of the vocabulary can cross a boundary (before a space
-that follows something else, around a newline), all paths meet at once; the stretches
-between such boundaries repeat, so their committed ids are kept in a bounded table.
+The search streams, over texts of any length alike. A window holds the last ``longest``
+positions, the only ones at which a further piece can begin; each has its best path. A
+position that leaves the window without a path through it is dropped, with what only it
+led to. As soon as all paths that survive go through one boundary, the ids up to it are
+committed and forgotten. What is held is the window and the paths that still differ.
+
+Where no piece of the vocabulary can cross a boundary (before a space that follows
+something else, around a line feed) all paths meet at once, so a text is searched stretch
+by stretch. Stretches repeat: each distinct one of a slice of rows is searched once, and a
+worker remembers a bounded number of short ones. Many stretches are searched in lockstep,
+position by position in arrays; when only a few longer ones are left, these are searched
+one by one. Both ways are the same search, with the same window and the same commits.
+
+Decoding looks up each id's bytes; the query decodes the ids that it returns.
 
 Defined cases. Null stays null ids and null text; an empty text has no ids; U+2581 in a
 text is encoded as the library does, as a space, so that it alone does not survive the
 round trip; characters outside the vocabulary become byte pieces. Repeated rows and null
-doc_ids are rows as any other.
+doc_ids are rows as any other. Models that normalise texts, and types other than unigram
+and BPE, are refused.
 """
 
 from __future__ import annotations
@@ -25,31 +35,102 @@ from __future__ import annotations
 import functools
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .textscan import slices, text_buffer
 
 MODEL = "piece_bpe_32k.model"
-#: Stretches whose ids a worker keeps, in each of two generations.
-KEPT = 200_000
+#: Stretches whose ids a worker keeps, in each of two generations, and the characters that one may have.
+KEPT, SHORT = 300_000, 64
 #: Pairs of pieces of which a worker remembers whether they may be neighbours.
-FITS = 300_000
-#: Characters of a stretch up to which its prefixes' last pieces are remembered.
-BEGUN = 8
-#: Beginnings and last characters that a worker remembers.
-REMEMBERED = 200_000
-#: Characters before a position that are looked up together.
-SPAN = 6
-#: Numbers of lone characters begin here.
-_LONE = 1 << 20
-_NONE = float("-inf")
+FITS = 1_000_000
+#: Bytes of text that are encoded together; a longer text is a slice of its own.
+TOGETHER = 4 << 20
+#: Stretches that are searched in lockstep, at most and at least.
+LOCKSTEP, FEW = 1 << 15, 32
+#: Positions between commits that a lockstep search has room for; a stretch whose paths meet later is searched alone.
+SPAN = 64
 _MARK = "▁"
+_NEVER = 1 << 40
+#: Values of the model file's format: model types, and fields of its messages.
+_UNIGRAM, _BPE = 1, 2
+_TRAINER, _NORMALIZER, _TYPE, _CHARSMAP, _DUMMY_PREFIX, _EXTRA_SPACES = 2, 3, 3, 2, 3, 4
+
+
+def _fields(message: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a protocol-buffer message."""
+    at, out = 0, {}
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            out[key >> 3] = number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            out[key >> 3] = message[at : at + size]
+            at += size
+    return out
+
+
+class _Table:
+    """A hash table of whole arrays: positive 64-bit keys, 32-bit values."""
+
+    def __init__(self, most: int):
+        bits = max(8, (2 * most).bit_length())
+        self.shift, self.last, self.room, self.n = np.uint64(64 - bits), (1 << bits) - 1, most, 0
+        self.keys, self.values = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values; -1 where there is none."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.last
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not there; all others go if there is no room."""
+        if self.n + len(keys) > self.room:
+            self.keys[:], self.n = 0, 0
+            keys, values = keys[: self.room], values[: self.room]
+        self.n += len(keys)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = keys[free]
+            done = free[self.keys[slot[free]] == keys[free]]
+            self.values[slot[done]] = values[done]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.last
 
 
 class Codec:
@@ -59,225 +140,415 @@ class Codec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(sp.get_piece_size())
-        self.byte = {}
-        self.ids, self.score, self.shown = {}, {}, []
-        for i in ids:
+        spec = _fields(sp.serialized_model_proto())
+        trainer, normalizer = (_fields(spec.get(k, b"")) for k in (_TRAINER, _NORMALIZER))
+        kind = trainer.get(_TYPE, _UNIGRAM)
+        if kind not in (_UNIGRAM, _BPE) or normalizer.get(_CHARSMAP) or normalizer.get(_EXTRA_SPACES, 1):
+            raise ValueError("only unigram and BPE models that leave texts as they are")
+        byte, ids, score, shown = {}, {}, {}, []
+        for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.byte[int(piece[3:5], 16)] = i
-                self.shown.append(bytes([int(piece[3:5], 16)]))
+                byte[int(piece[3:5], 16)] = i
+                shown.append(bytes([int(piece[3:5], 16)]))
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.shown.append(b"")
+                shown.append(b"")
             else:
-                self.ids[piece] = i
-                self.score[piece] = sp.get_score(i)
-                self.shown.append(piece.replace(_MARK, " ").encode())
-        self.unk = sp.unk_id()
-        self.longest = max(map(len, self.ids))
-        self.unigram = self._is_unigram()
-        self.prefix = len(sp.encode("a")) > 0 and sp.id_to_piece(sp.encode("a")[0]).startswith(_MARK)
-        # Characters that no piece holds, and the mark if nothing but a mark comes before it in a piece, are boundaries.
-        held = set("".join(self.ids))
-        alone = "".join(c for c in "\n\t\r" if c not in held)
-        if all(_MARK not in p.lstrip(_MARK) for p in self.ids):
-            self.stretch = regex.compile(f"{_MARK}*[^{_MARK}{alone}]+|{_MARK}+|[{alone}]" if alone else f"{_MARK}*[^{_MARK}]+|{_MARK}+").findall
-        else:
-            self.stretch = lambda text: [text]
+                ids[piece] = i
+                score[piece] = sp.get_score(i)
+                shown.append(piece.replace(_MARK, " ").encode())
+        self._prepare(ids, score, kind == _UNIGRAM, bool(normalizer.get(_DUMMY_PREFIX, 1)), byte, sp.unk_id(), shown)
+
+    @classmethod
+    def of(cls, score: dict[str, float], unigram: bool) -> Codec:
+        """A codec of pieces numbered in the order given, without prefix or byte pieces."""
+        out = cls.__new__(cls)
+        out._prepare({p: k for k, p in enumerate(score)}, dict(score), unigram, False, {}, len(score), [p.replace(_MARK, " ").encode() for p in score] + [b""])
+        return out
+
+    def _prepare(self, ids: dict[str, int], score: dict[str, float], unigram: bool, prefix: bool, byte: dict[int, int], unk: int, shown: list[bytes]) -> None:
+        import ahocorasick
+
+        self.ids, self.score, self.unigram, self.prefix, self.byte, self.unk = ids, score, unigram, prefix, byte, unk
+        self.shown = pa.array(shown, pa.binary())
+        self.longest = max(map(len, ids))
+        self.unknown = min(score.values()) - 10.0
+        #: A piece's place in the order of merging; equal scores are equal places.
+        places = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: places[s] for p, s in score.items()}
+        #: Of each piece that merging can bring about: the places of its merges in their order, and the first and last symbol after each.
+        self.made: dict[str, tuple[list[int], list[str], list[str]]] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
+        #: Finds all pieces that end at a position, longest first.
+        self.automaton = ahocorasick.Automaton()
+        for p in ids:
+            if unigram or self._made(p) is not None:
+                self.automaton.add_word(p, (len(p), p))
+        self.automaton.make_automaton()
+        held = set("".join(ids))
+        self._number(held)
+        #: Bytes that are stretches of their own, and whether a space that follows something else begins a stretch.
+        self.alone = [ord(c) for c in "\n\t\r" if c not in held]
+        self.cut = all(_MARK not in p.lstrip(_MARK) for p in ids)
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        #: Whether two pieces, by number, may stand side by side; and all that a piece ends with.
-        self.fits: dict[int, bool] = {}
-        self.number: dict[str, int] = {}
-        self.begun: dict[str, tuple[str, int]] = {}
-        self.spans: dict[str, tuple[tuple[int, int, str], ...]] = {}
-        self.edges: dict[str, tuple[int, int, str]] = {}
-        self.number.update((p, i + 1) for p, i in self.ids.items())
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
-
-    def _is_unigram(self) -> bool:
-        """BPE models number their pieces by merge: nearly everywhere the score falls by one from piece to piece."""
-        s = np.array(list(self.score.values()))
-        return bool((np.diff(s) == -1).mean() < 0.9)
 
-    def merged(self, text: str) -> list[str]:
-        """The BPE pieces of a short text, by merging: what decides whether two pieces may stand side by side."""
-        parts, score = list(text), self.score
-        gain = [score.get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    def _merging(self, text: str) -> tuple[list[str], list[int], list[str], list[str]]:
+        """The BPE pieces of a text, by merging the best pair (the leftmost of equals) again and again; with each merge's place and the first and last symbol after it."""
+        parts, rank = list(text), self.rank
+        gain = [rank.get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        order, first, last = [], [parts[0]], [parts[-1]]
         while gain:
-            best = max(gain)
-            if best == _NONE:
+            best = min(gain)
+            if best == _NEVER:
                 break
             k = gain.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
             del gain[k]
             if k:
-                gain[k - 1] = score.get(parts[k - 1] + parts[k], _NONE)
+                gain[k - 1] = rank.get(parts[k - 1] + parts[k], _NEVER)
             if k < len(gain):
-                gain[k] = score.get(parts[k] + parts[k + 1], _NONE)
-        return parts
+                gain[k] = rank.get(parts[k] + parts[k + 1], _NEVER)
+            order.append(best)
+            first.append(parts[0])
+            last.append(parts[-1])
+        return parts, [*order, _NEVER], first, last
 
-    def _number(self, piece: str) -> int:
-        """An id for each piece and lone character; 0 is the beginning."""
-        n = self.number.get(piece)
-        if n is None:
-            n = self.ids.get(piece)
-            n = self.number[piece] = n + 1 if n is not None else _LONE + ord(piece) if piece else 0
-        return n
+    def merged(self, text: str) -> list[str]:
+        return self._merging(text)[0]
 
-    def _fit(self, a: str, b: str) -> bool:
-        key = self._number(a) << 32 | self._number(b)
-        ok = self.fits.get(key)
-        if ok is None:
-            if len(self.fits) > FITS:
-                self.fits.clear()
-            ok = self.fits[key] = self.merged(a + b) == ([a, b] if a else [b])
-        return ok
+    def _made(self, piece: str) -> tuple[list[int], list[str], list[str]] | None:
+        found = self.made.get(piece)
+        if found is None:
+            parts, *found = self._merging(piece)
+            if len(parts) > 1:
+                return None
+            self.made[piece] = found = tuple(found)
+        return found
 
-    def _ends(self, text: str, i: int) -> tuple[tuple[int, int, str], ...]:
-        """(length, number, piece) of the pieces that end at i, longest first, down to the single character."""
-        found, j = [], i
-        while j and (j == i or text[j:i] in self.tails):
-            j -= 1
-            piece = text[j:i]
-            if j == i - 1 or piece in self.ids:
-                edge = self.edges.get(piece)
-                if edge is None:
-                    edge = self.edges[piece] = (i - j, self._number(piece), piece)
-                found.append(edge)
-        return tuple(reversed(found))
-
-    def _short(self, text: str) -> bytes:
-        """The ids of a stretch within one window of a BPE model: search() that commits nothing before its end."""
-        fits, begun, spans = self.fits, self.begun, self.spans
-        best, numbers = [""], [0]
-        # A prefix's last piece depends on nothing after it, and stretches begin alike.
-        for i in range(1, min(BEGUN, len(text)) + 1):
-            last = begun.get(text[:i])
-            if last is None:
-                break
-            best.append(last[0])
-            numbers.append(last[1])
-        for i in range(len(best), len(text) + 1):
-            # Where the last SPAN characters end no longer piece, they tell all pieces that end here.
-            span = text[i - SPAN : i] if i > SPAN else ""
-            ends = spans.get(span)
-            if ends is None:
-                ends = self._ends(text, i)
-                if span and span not in self.tails and len(spans) < REMEMBERED:
-                    spans[span] = ends
-            for size, n, piece in ends:
-                ok = fits.get(numbers[i - size] << 32 | n)
-                if ok is None:
-                    ok = self._fit(best[i - size], piece)
-                if ok:
+    def _fit(self, a: str, b: str) -> bool:
+        """Whether merging a + b gives back a and b: no pair across the boundary is ever the best one.
+
+        The merges inside a and inside b do not depend on each other; the better next one
+        comes first, a's if they are equal, and a pair across is left of all of b's.
+        """
+        if len(self.fits) > FITS:
+            self.fits.clear()
+        (x, _, last), (y, first, _) = self._made(a), self._made(b)
+        i = j = 0
+        rank, ok = self.rank, True
+        while True:
+            across = rank.get(last[i] + first[j], _NEVER)
+            if x[i] <= y[j]:
+                if across < x[i]:
+                    ok = False
                     break
-            best.append(piece)
-            numbers.append(n)
-            if i <= BEGUN and len(begun) < REMEMBERED:
-                begun[text[:i]] = piece, n
-        out, i = [], len(text)
-        while i:
-            n = numbers[i]
-            out.append(n - 1 if n < _LONE else -i)
-            i -= len(best[i])
-        if min(out) < 0:  # characters outside the vocabulary
-            pieces = [self.byte_ids(text[-k - 1]) if k < 0 else [k] for k in reversed(out)]
-            out = [x for some in pieces for x in some]
-        else:
-            out.reverse()
-        return array("i", out).tobytes()
+                if x[i] == _NEVER:
+                    break
+                i += 1
+            else:
+                if across <= y[j]:
+                    ok = False
+                    break
+                j += 1
+        self.fits[a, b] = ok
+        return ok
 
     def byte_ids(self, char: str) -> list[int]:
         return [self.byte[x] for x in char.encode()] if self.byte else [self.unk]
 
-    def _edges(self, text: str, i: int) -> Iterator[str]:
-        """Pieces that end at position i, longest first; a character outside the vocabulary is an edge of its own."""
-        for n in range(min(self.longest, i), 0, -1):
-            piece = text[i - n : i]
-            if piece in self.ids or n == 1:
-                yield piece
-
-    def search(self, text: str) -> Iterator[str]:
-        """Streaming Viterbi over a text in which spaces are marks: yields its pieces as they are committed."""
-        done = 0  # all before it is committed
-        best: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        for i in range(1, len(text) + 1):
-            top = None
-            for piece in self._edges(text, i):
-                j = i - len(piece)
-                if j < done or j not in best:
-                    continue
-                if self.unigram:
-                    value = best[j][0] + self.score.get(piece, min(self.score.values()) - 10.0)
-                    if top is None or value > top[0]:
-                        top = (value, piece)
-                elif self._fit(best[j][1], piece):
-                    top = (0.0, piece)
+    def _edges(self, text: str) -> Iterator[tuple[int, list[str]]]:
+        """Each position with the pieces that end there, longest first; a character outside the vocabulary is an edge of its own."""
+        at, here = 1, []
+        for end, (_, piece) in self.automaton.iter(text):
+            while at <= end:
+                yield at, here or [text[at - 1]]
+                at, here = at + 1, []
+            here.append(piece)
+        while at <= len(text):
+            yield at, here or [text[at - 1]]
+            at, here = at + 1, []
+
+    def search(self, text: str, watch: list | None = None) -> Iterator[str]:
+        """Streaming Viterbi over a text in which spaces are marks: yields its pieces as they are committed.
+
+        A node is [piece, node before, paths that go on from it, in the window, value].
+        ``watch`` gets the number of positions between the last commit and each position.
+        """
+        fits, fit, unigram, score = self.fits, self._fit, self.unigram, self.score
+        most = self.longest
+        ring: list = [None] * (most + 1)
+        root = ring[0] = ["", None, 0, True, 0.0]
+        done = 0
+        for i, pieces in self._edges(text):
+            value, best, before = 0.0, None, None
+            for piece in pieces:
+                node = ring[(i - len(piece)) % (most + 1)]
+                if unigram:
+                    v = node[4] + score.get(piece, self.unknown)
+                    if best is None or v > value:
+                        value, best, before = v, piece, node
+                else:
+                    last = node[0]
+                    if last:
+                        ok = fits.get((last, piece))
+                        if ok is None:
+                            ok = fit(last, piece)
+                        if not ok:
+                            continue
+                    best, before = piece, node
                     break
-            if top is not None:
-                best[i] = top
-            if i - done >= 2 * self.longest or i == len(text):
-                meet = self._meeting(best, done, i, len(text))
-                if meet > done:
-                    yield from self._path(best, done, meet)
-                    best = {k: v for k, v in best.items() if k >= meet}
-                    done = meet
-
-    def _meeting(self, best: dict, done: int, i: int, end: int) -> int:
-        """The last boundary that the paths of all positions share from which later pieces can start."""
-        live = [end] if i == end else [k for k in range(max(done, i - self.longest + 1), i + 1) if k in best]
-        front = set(live)
-        while len(front) > 1:
-            k = max(front)
-            front.discard(k)
-            front.add(k - len(best[k][1]))
-        return front.pop()
-
-    @staticmethod
-    def _path(best: dict, a: int, b: int) -> list[str]:
-        out = []
-        while b > a:
-            out.append(best[b][1])
-            b -= len(best[b][1])
-        return out[::-1]
-
-    def _ids(self, pieces: Iterable[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            out.extend([i] if i is not None else self.byte_ids(p))
+            if best is None:
+                # Only a character's own edge is left: always a path, as merging has one result.
+                best = text[i - 1]
+                before = ring[(i - 1) % (most + 1)]
+                value = before[4] + self.unknown
+            before[2] += 1
+            if i >= most:
+                # The position that leaves the window; a path that ends there ends for good.
+                gone = ring[(i - most) % (most + 1)]
+                gone[3] = False
+                node = gone
+                while node is not root and not node[2] and not node[3]:
+                    node = node[1]
+                    node[2] -= 1
+            ring[i % (most + 1)] = node = [best, before, 0, True, value]
+            if not root[3] and root[2] == 1:
+                path = []
+                while node is not root:
+                    path.append(node)
+                    node = node[1]
+                while not root[3] and root[2] == 1:
+                    root = path.pop()
+                    done += len(root[0])
+                    yield root[0]
+                root[1] = None
+            if watch is not None:
+                watch.append(i - done)
+        path, node = [], ring[len(text) % (most + 1)]
+        while node is not root:
+            path.append(node[0])
+            node = node[1]
+        yield from reversed(path)
+
+    def _number(self, held: set[str]) -> None:
+        """Numbers for pieces and held characters, and a trie of the pieces read backwards, for the lockstep search."""
+        pieces = [p for p in self.ids if self.unigram or p in self.made]
+        self.names = [*pieces, *sorted(held - set(pieces))]
+        #: Two more numbers: the beginning of a stretch, and a character of no piece.
+        self.start, self.other = len(self.names), len(self.names) + 1
+        self.id_of = np.array([*(self.ids.get(p, -1) for p in self.names), -1, -1], np.int32)
+        self.value_of = np.array([*(self.score.get(p, self.unknown) for p in self.names), 0.0, self.unknown])
+        chars = sorted(held)
+        self.kind = np.zeros(0x110000, np.int32)  # of a code point; 0: of no piece
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        number = {p: k for k, p in enumerate(self.names)}
+        self.lone = np.array([self.other, *(number[c] for c in chars)], np.int32)
+        kinds, nodes, ends = {c: k + 1 for k, c in enumerate(chars)}, {}, [-1]
+        for k, p in enumerate(pieces):
+            node = 0
+            for c in reversed(p):
+                key = (node << 21) + kinds[c]
+                node = nodes.get(key)
+                if node is None:
+                    node = nodes[key] = len(ends)
+                    ends.append(-1)
+            ends[node] = k
+        self.trie, self.ends = _Table(len(nodes) + 1), np.array(ends, np.int32)
+        self.trie.put(np.fromiter(nodes.keys(), np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)))
+        self.pairs = _Table(FITS)
+
+    def _fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_fit for pairs of numbers."""
+        keys = (a.astype(np.int64) << 24) + b + 1
+        ok = self.pairs.get(keys)
+        ok[(a >= self.start) | (b >= self.start)] = 1
+        if (ok < 0).any():
+            new = np.unique(keys[ok < 0])
+            names = self.names
+            fit = np.array([self._fit(names[(k - 1) >> 24], names[(k - 1) & 0xFFFFFF]) for k in new.tolist()], np.int32)
+            missing = np.flatnonzero(ok < 0)
+            ok[missing] = fit[np.searchsorted(new, keys[missing])]
+            self.pairs.put(new, fit)
+        return ok > 0
+
+    def _lockstep(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The search over stretches, longest first, at once: (offsets, numbers) of their pieces, and which stretches it could not finish."""
+        size = np.array(list(map(len, stretches)), np.int64)
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind, first = self.kind[codes], np.cumsum(size) - size
+        rows, most, room = len(size), self.longest, SPAN
+        number, length = np.full((room, rows), self.start, np.int32), np.zeros((room, rows), np.int8)
+        masks, values = np.zeros((most + 1, rows), np.uint64), np.zeros((most + 1, rows))
+        masks[0] = 1  # bit k: the path goes through the boundary k positions back
+        done, lost = np.zeros(rows, np.int64), np.zeros(rows, bool)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def commit(row: np.ndarray, to: np.ndarray) -> None:
+            begin, at = done[row], to.copy()
+            done[row] = to
+            while len(row):
+                n = length[at % room, row]
+                out.append((row, at, number[at % room, row]))
+                at = at - n
+                go = at > begin
+                row, at, begin = row[go], at[go], begin[go]
+
+        alive = rows
+        for i in range(1, int(size[0]) + 1):
+            alive = int(np.searchsorted(-size, -i, side="right"))
+            row, node, found = np.arange(alive), np.zeros(alive, np.int64), []
+            for n in range(1, min(i, most) + 1):
+                node = self.trie.get((node << 21) + kind[first[row] + (i - n)]).astype(np.int64)
+                go = node > 0
+                if not go.all():
+                    row, node = row[go], node[go]
+                    if not len(row):
+                        break
+                piece = self.ends[node]
+                has = piece >= 0
+                found.append((n, row[has], piece[has]))
+            best, long = self.lone[kind[first[:alive] + (i - 1)]], np.ones(alive, np.int8)
+            if self.unigram:
+                value = values[(i - 1) % (most + 1), :alive] + self.unknown
+                value[best < self.start] = -np.inf
+                value = np.where(self.id_of[best] < 0, values[(i - 1) % (most + 1), :alive] + self.unknown, value)
+                for n, row, piece in found:
+                    v = values[(i - n) % (most + 1), row] + self.value_of[piece]
+                    up = v >= value[row]
+                    row, piece = row[up], piece[up]
+                    value[row], best[row], long[row] = v[up], piece, n
+                values[i % (most + 1), :alive] = value
+            else:
+                free = np.ones(alive, bool)
+                for n, row, piece in reversed(found):
+                    go = free[row]
+                    row, piece = row[go], piece[go]
+                    ok = self._fit_all(number[(i - n) % room, row] if i > n else np.full(len(row), self.start, np.int32), piece)
+                    row, piece = row[ok], piece[ok]
+                    free[row], best[row], long[row] = False, piece, n
+            number[i % room, :alive], length[i % room, :alive] = best, long
+            back = masks[(i - long) % (most + 1), np.arange(alive)]
+            masks[i % (most + 1), :alive] = (back << long.astype(np.uint64)) | np.uint64(1)
+            if i >= most:
+                # The boundaries that the paths of all positions in the window share.
+                all_ = np.full(alive, ~np.uint64(0))
+                for k in range(most):
+                    all_ &= masks[(i - k) % (most + 1), :alive] << np.uint64(k)
+                far = np.where(all_ > 0, i - np.log2((all_ & -all_.astype(np.int64).view(np.uint64)).astype(np.float64) + (all_ == 0)).astype(np.int64), 0)
+                row = np.flatnonzero(far > done[:alive])
+                if len(row):
+                    commit(row, far[row])
+                lost[:alive] |= i - done[:alive] >= room - 1
+                done[:alive][lost[:alive]] = i
+            over = int(np.searchsorted(-size, -i - 1, side="right"))
+            if over < alive:
+                row = np.arange(over, alive)
+                row = row[done[row] < i]
+                commit(row, np.full(len(row), i))
+        none = np.zeros(0, np.int64)
+        row, at, piece = (np.concatenate(x) for x in zip((none, none, none), *out, strict=True))
+        order = np.lexsort((at, row))
+        return np.searchsorted(row[order], np.arange(rows + 1)), piece[order].astype(np.int32), lost
+
+    def _many_ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches: in lockstep as long as there are FEW of a length."""
+        order = sorted(range(len(stretches)), key=lambda k: -len(stretches[k]))
+        out: list[bytes] = [b""] * len(stretches)
+        limit = len(stretches[order[FEW - 1]]) if len(order) >= FEW else 0
+        alone = 0
+        while alone < len(order) and len(stretches[order[alone]]) > limit:
+            out[order[alone]] = self._ids(stretches[order[alone]])
+            alone += 1
+        for a in range(alone, len(order), LOCKSTEP):
+            some = order[a : a + LOCKSTEP]
+            offs, numbers, lost = self._lockstep([stretches[k] for k in some])
+            ids = self.id_of[numbers]
+            odd = lost.copy()  # with characters that have no id of their own
+            np.logical_or.at(odd, np.searchsorted(offs, np.flatnonzero(ids < 0), side="right") - 1, True)
+            raw = ids.tobytes()
+            for k, x, y, o in zip(some, (offs[:-1] * 4).tolist(), (offs[1:] * 4).tolist(), odd.tolist(), strict=True):
+                out[k] = self._ids(stretches[k]) if o else raw[x:y]
+        return out
+
+    def _ids(self, stretch: str) -> bytes:
+        ids, out = self.ids, []
+        for p in self.search(stretch):
+            i = ids.get(p)
+            if i is not None:
+                out.append(i)
+            else:
+                out.extend(self.byte_ids(p))
         return array("i", out).tobytes()
 
+    def _all_ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches, as 32-bit integers."""
+        kept, old = self.kept, self.old
+        out = [kept.get(s) or old.get(s) for s in stretches]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if new:
+            for k, ids in zip(new, self._many_ids([stretches[k].replace(" ", _MARK) for k in new]), strict=True):
+                out[k] = ids
+        if len(kept) + len(stretches) > KEPT:
+            # What is used again moves to the young generation; the rest goes with the old.
+            self.old, self.kept = kept, {}
+        self.kept.update((s, ids) for s, ids in zip(stretches, out, strict=True) if len(s) <= SHORT)
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of a slice of texts without nulls, one after the other."""
+        texts = texts.cast(pa.large_string())
+        if pc.any(pc.match_substring(texts, _MARK)).as_py():
+            texts = pc.replace_substring(texts, _MARK, " ")
+        if self.prefix:  # an empty text has no prefix either
+            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        data, bounds = text_buffer(texts)
+        data = data[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        begin = np.zeros(len(data) + 1, bool)
+        begin[bounds] = True
+        if self.cut:
+            space = data == 0x20
+            begin[1:-1] |= space[1:] & ~space[:-1]
+        for c in self.alone:
+            lone = data == c
+            begin[:-1] |= lone
+            begin[1:] |= lone
+        begin[-1] = False
+        at = np.flatnonzero(begin)
+        ends = pa.py_buffer(np.append(at, len(data)).astype(np.int64))
+        named = pa.LargeStringArray.from_buffers(len(at), ends, pa.py_buffer(data)).dictionary_encode()
+        found = self._all_ids(named.dictionary.to_pylist())
+        size = np.array([len(x) >> 2 for x in found], np.int64)
+        flat, place = np.frombuffer(b"".join(found), np.int32), np.cumsum(size) - size
+        which = np.asarray(named.indices)
+        count = size[which]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(place[which] - total[:-1], count) + np.arange(int(total[-1]))]
+        return total[np.searchsorted(at, bounds)], ids
+
+    def raw(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) that ids stand for."""
+        return text_buffer(self.shown.take(pa.array(ids)).cast(pa.large_binary()))
+
+    def text_of(self, raw: bytes) -> bytes:
+        """The UTF-8 text of the bytes of a text's ids."""
+        raw = raw[1:] if self.prefix and raw[:1] == b" " else raw
+        return raw.decode("utf-8", "replace").encode()
+
     def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        kept, quick, out = self.kept, not self.unigram, []
-        for part in self.stretch((_MARK if self.prefix else "") + text.replace(" ", _MARK)):
-            ids = kept.get(part)
-            if ids is None and (ids := self.old.get(part)) is not None:
-                kept[part] = ids
-            elif ids is None:
-                ids = self._short(part) if quick and len(part) < 2 * self.longest else self._ids(self.search(part))
-                if len(part) <= 64:
-                    if len(kept) >= KEPT:
-                        # What is used again moves to the young generation; the rest goes with the old.
-                        self.old, self.kept = kept, {}
-                        kept = self.kept
-                    kept[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        """The ids of a text, as 32-bit integers."""
+        return self.encode_all(pa.array([text]))[1].tobytes()
 
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.shown.__getitem__, np.frombuffer(ids, "<i4").tolist()))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        data, _ = self.raw(np.frombuffer(ids, np.int32))
+        return self.text_of(data.tobytes()).decode()
 
 
 @functools.cache
-def codec(path: str) -> Codec:
-    """A worker's codec, which keeps its tables from task to task."""
-    return Codec(path)
+def codec(model: str) -> Codec:
+    """A worker's codec, which keeps its tables from task to task; a public model's name, or a path that workers can read."""
+    return Codec(model if "/" in model else model_path(model))
 
 
 def model_path(name: str = MODEL) -> str:
@@ -286,49 +557,42 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, ids (array<int>), n_bytes, decoded_sha256, round_trip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in batches:
-            a = 0
-            while a < batch.num_rows:
-                ids, size, sha, same, total, b = [], [], [], [], 0, a
-                while b < batch.num_rows and total < 1 << 21:
-                    text = batch.column("text")[b].as_py()
-                    b += 1
-                    if text is None:
-                        for x in (ids, size, sha, same):
-                            x.append(None)
-                        continue
-                    found = own.encode(text)
-                    back = own.decode(found)
-                    total += len(found)
-                    ids.append(found)
-                    size.append(len(text.encode()))
-                    sha.append(hashlib.sha256(back.encode()).hexdigest())
-                    same.append(back == text)
-                offs = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x or b"") // 4 for x in ids], out=offs[1:])
-                values = pa.Array.from_buffers(pa.int32(), int(offs[-1]), [None, pa.py_buffer(b"".join(x or b"" for x in ids))])
-                lists = pa.ListArray.from_arrays(pa.array(offs), values, mask=pa.array([x is None for x in ids], pa.bool_()))
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, b - a), lists, pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
-                    ["doc_id", "ids", "n_bytes", "decoded_sha256", "round_trip"],
-                )
-                a = b
+        own = codec(model)
+        for s in slices(batches, most=TOGETHER):
+            texts = s.rows.column("text")
+            null = np.asarray(texts.is_null())
+            starts, ids = own.encode_all(texts.fill_null(""))
+            data, offs = own.raw(ids)
+            raw, edges, source = data.tobytes(), offs[starts].tolist(), s.data.tobytes()
+            bounds, skip = s.bounds.tolist(), int(own.prefix)
+            sha, same = [], []
+            for k, no in enumerate(null.tolist()):
+                text, back = source[bounds[k] : bounds[k + 1]], raw[edges[k] + skip : edges[k + 1]]
+                equal = back == text and (not skip or not text or raw[edges[k]] == 0x20)
+                if not equal:
+                    back = own.text_of(raw[edges[k] : edges[k + 1]])
+                sha.append(None if no else hashlib.sha256(back).hexdigest())
+                same.append(None if no else back == text)
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids), mask=pa.array(null))
+            yield pa.record_batch(
+                [s.rows.column("doc_id"), lists, pa.array(np.diff(s.bounds), mask=null), pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
+                ["doc_id", "ids", "n_bytes", "decoded_sha256", "round_trip"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_bytes long, decoded_sha256 string, round_trip boolean")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text from doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(model)
         for batch in batches:
-            texts = [None if x.as_py() is None else own.decode(np.array(x.as_py(), "<i4").tobytes()) for x in batch.column("ids")]
+            texts = [None if x.as_py() is None else own.decode(np.array(x.as_py(), np.int32).tobytes()) for x in batch.column("ids")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -336,7 +600,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, and the digest of the text that they decode to."""
-    return encode(documents(spark, sf_dir), model_path()).select("doc_id", F.size("ids").alias("n_tokens"), "n_bytes", "ids", "decoded_sha256", "round_trip")
+    return encode(documents(spark, sf_dir)).select("doc_id", F.size("ids").alias("n_tokens"), "n_bytes", "ids", "decoded_sha256", "round_trip")
 
 
 #: Tested against the library's ids, brute force and exact round trips.

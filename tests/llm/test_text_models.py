@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evalkit.llm import decontaminate, lm_scores, pii, quality, sentencepiece_codec, token_counts
@@ -274,27 +275,62 @@ def test_pieces_are_the_librarys_and_decode_to_the_text(codec):
         assert codec.decode(ids) == t.replace("▁", " ")
 
 
-def test_streaming_search_commits_what_a_whole_search_finds(codec):
-    for t in _texts():
-        text = "▁" + t.replace(" ", "▁").replace("\n", "")
-        whole = [p for part in codec.stretch(text) for p in codec.search(part)]
-        assert list(codec.search(text)) == whole and "".join(whole) == text
+def test_texts_longer_than_a_slice(codec):
+    """Over 2 MB in one text, with and without boundaries, beside short ones."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdethion") for _ in range(rng.randint(1, 9))) for _ in range(420_000)), "short", "", "".join(rng.choice("abcdethion漢") for _ in range(30_000))]
+    offs, ids = codec.encode_all(pa.array(texts))
+    assert len(texts[0]) > 2 << 20
+    for k, t in enumerate(texts):
+        assert ids[offs[k] : offs[k + 1]].tolist() == library.encode(t)
+
+
+def test_search_holds_a_bounded_window(codec):
+    """What is not committed yet stays within a few pieces, whatever the length; the pieces are those of a search from the end."""
+    rng = random.Random(2)
+    for text in ("x" * 5000, "ab" * 3000, "".join(rng.choice("abcdethion") for _ in range(8000)), "▁" * 300 + "z", "漢字" * 900):
+        held = []
+        assert "".join(codec.search(text, held)) == text
+        assert max(held) <= 6 * codec.longest
+
+
+def test_searches_alone_and_in_lockstep_agree(codec):
+    rng = random.Random(5)
+    words = list({"▁" + "".join(rng.choice("abcdethion.,é漢\U0001f600") for _ in range(rng.randint(1, 60))) for _ in range(400)})
+    for own in (codec, sentencepiece_codec.Codec.of(_UNIGRAM, True)):
+        assert own._many_ids(words) == [own._ids(w) for w in words]
+    deep = sentencepiece_codec.Codec.of({"a": -3.0, "b": -3.1, "aa": -1.0, "ab": -1.5, "ba": -1.2}, True)
+    far = [c + "a" * (90 + k) + d for c in "ab" for d in "ab" for k in range(20)]  # paths that differ by one up to the end
+    assert deep._many_ids(far) == [deep._ids(w) for w in far]
+
+
+_UNIGRAM = {"a": -2.0, "b": -2.1, "ab": -3.0, "ba": -3.3, "aba": -4.9, "bb": -3.9, "abab": -5.7}
 
 
 def test_unigram_search_is_optimal():
     """Against all segmentations of short texts, with scores of a unigram model."""
-    codec = object.__new__(sentencepiece_codec.Codec)
-    codec.score = {"a": -2.0, "b": -2.1, "ab": -3.0, "ba": -3.3, "aba": -4.9, "bb": -3.9, "abab": -5.7}
-    codec.ids, codec.longest, codec.unigram = {p: k for k, p in enumerate(codec.score)}, 4, True
+    codec = sentencepiece_codec.Codec.of(_UNIGRAM, True)
 
     def best(t):
         return max((codec.score[t[:n]] + best(t[n:]) for n in range(1, len(t) + 1) if t[:n] in codec.score), default=float("-inf")) if t else 0.0
 
     rng = random.Random(1)
-    for _ in range(200):
-        t = "".join(rng.choice("ab") for _ in range(rng.randint(1, 22)))
-        pieces = list(codec.search(t))
-        assert "".join(pieces) == t and abs(sum(codec.score[p] for p in pieces) - best(t)) < 1e-9
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 22))) for _ in range(200)]
+    names = list(codec.score)
+    for t, ids in zip(texts, codec._many_ids(texts), strict=True):
+        for pieces in (list(codec.search(t)), [names[i] for i in np.frombuffer(ids, np.int32)]):
+            assert "".join(pieces) == t and abs(sum(codec.score[p] for p in pieces) - best(t)) < 1e-9
+
+
+def test_neighbours_are_those_that_merging_gives_back(codec):
+    rng = random.Random(4)
+    pieces = [p for p in codec.made if len(p) < 6]
+    for _ in range(20_000):
+        a, b = rng.choice(pieces), rng.choice(pieces)
+        assert codec._fit(a, b) == (codec.merged(a + b) == [a, b])
 
 
 def test_codec_of_odd_rows(spark):
