@@ -60,7 +60,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, n_bytes, decoded_sha256, round_trip."""
     ship(spark)
-    out = sentencepiece_codec.encode(docs, sentencepiece_codec.model_path())
+    out = sentencepiece_codec.encode(docs)
     return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "n_bytes", "decoded_sha256", "round_trip")
 
 
