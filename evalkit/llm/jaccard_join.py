@@ -55,12 +55,12 @@ def shingles(s: Slice, size: int = SHINGLE) -> Iterator[np.ndarray]:
     begin, end, first = words(data, s.bounds)
     hashes = word_hashes(data, begin, end)
     starts, row = window_starts(first, size)
-    grams = window_hashes(hashes, starts, size)
+    grams = window_hashes(hashes, size)[starts]
     cut = np.searchsorted(row, np.arange(len(s) + 1))
     count = np.diff(first)
     for k in range(len(s)):
         if 0 < count[k] < size:
-            yield window_hashes(hashes, first[k : k + 1], int(count[k]))
+            yield window_hashes(hashes[first[k] : first[k + 1]], int(count[k]))
         else:
             yield np.unique(grams[cut[k] : cut[k + 1]])
 

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 19
 
 _U = np.uint64
-_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+_P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,7 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15 % 2**63))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -89,45 +89,61 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(begin, bounds)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n + 1:
-        m = max(n + 1, 1 << 16)
-        out = []
-        for x in (base, pow(base, -1, 2**64)):
-            a = np.full(m, x, _U)
-            a[0] = 1
-            with np.errstate(over="ignore"):
-                out.append(np.multiply.accumulate(a))
-        have = (out[0], out[1])
-        if m <= 4 * SLICE:
-            _powers[base] = have
-    return have
-
-
-def _spans(values: np.ndarray, base: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[begin:end] for each span: a polynomial modulo 2**64, shifted to its own start."""
-    up, down = _power(base, len(values))
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, parts: int = 1) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; with two parts, 128 bits as rows of two.
+
+    Words are taken in eight bytes at a time, each mixed into the state by a bijection, so
+    that no two words collide by the way they are built.
+    """
+    n = len(begin)
+    size = end - begin
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    state = [mix(size.astype(_U) + _U(0x51ED270B * (k + 1))) for k in range(parts)]
+    row, at, left = np.arange(n), begin, size
+    if n and int(size.max()) > _LONG:
+        for k in np.flatnonzero(size > _LONG).tolist():
+            digest = xxhash.xxh3_128_intdigest(data[begin[k] : end[k]].tobytes())
+            for one, part in zip(state, (digest & (1 << 64) - 1, digest >> 64), strict=False):
+                one[k] = part
+        row = np.flatnonzero(size <= _LONG)
+        at, left = begin[row], size[row]
+    odd = (_P, _Q)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(values) + 1, _U)
-        np.cumsum(values * up[: len(values)], out=total[1:])
-        return (total[end] - total[begin]) * down[begin]
-
-
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(_spans(_TABLE[data], _P, begin, end) + (end - begin).astype(_U))
-
-
-def window_hashes(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """64-bit hashes of the windows of ``size`` words that begin at the given words."""
+        while len(row):
+            chunk = eight[at] & _BELOW[np.minimum(left, 8)]
+            for k in range(parts):
+                if len(row) == n:
+                    state[k] = mix(state[k] * odd[k] + chunk)
+                else:
+                    state[k][row] = mix(state[k][row] * odd[k] + chunk)
+            more = left > 8
+            row, at, left = row[more], at[more] + 8, left[more] - 8
+    return state[0] if parts == 1 else np.stack(state, 1)
+
+
+def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The 64-bit hash of the ``size`` words that begin at each word, by doubling: windows of 2n words are pairs of windows of n."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, _U)
     with np.errstate(over="ignore"):
-        end = begin + size
-        return mix(_spans(hashes, _Q, begin, end) + np.asarray(size, _U) * _U(0x9E3779B97F4A7C15 >> 1))
+        done, wide, out, have = 0, 1, None, hashes
+        while True:
+            if size & wide:
+                part = have[done : done + n]
+                out = part if out is None else mix(out * _P ^ part)
+                done += wide
+            if done == size:
+                return mix(out + _U(size) * _Q)
+            have = mix(have[: len(have) - wide] * _Q + _U(wide) ^ have[wide:])
+            wide *= 2
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

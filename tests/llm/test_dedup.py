@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 
-from evalkit.llm import exact_dedup, jaccard_join, sharding, substring_dedup
+import numpy as np
+
+from evalkit.llm import exact_dedup, jaccard_join, sharding, substring_dedup, textscan
 from evalkit.llm.common import Scratch
 from evalkit.llm.components import connected
 
@@ -50,6 +52,90 @@ def test_substring_dedup_does_not_depend_on_batches(spark):
     assert collected(substring_dedup.substring_dedup(df, batches=1)) == collected(substring_dedup.substring_dedup(df, batches=4))
 
 
+def _alternating(k):
+    """Two different words of 2**k letters that a sum over powers cannot tell apart modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_are_told_apart_by_their_bytes():
+    for k in (1, 3, 6, 7, 10):
+        a, b = _alternating(k)
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        begin, end, _ = textscan.words(data, np.array([0, len(data)]))
+        x, y, z = textscan.word_hashes(data, begin, end, 2).tolist()
+        assert x == z and x[0] != y[0] and x[1] != y[1]
+    data = np.frombuffer(b"\x00 \x00\x00 abcdefgh\x00 abcdefgh", np.uint8)
+    assert len(set(textscan.word_hashes(data, *textscan.words(data, np.array([0, len(data)]))[:2]).tolist())) == 4
+
+
+def test_alike_hashing_words_of_old_are_no_repeats_and_no_links(spark):
+    a, b = _alternating(10)
+    tail = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} x y z"), (4, f"{b} x y z")]
+    assert {r.n_removed for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()} == {0}
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, rows[2:])).collect()}
+    assert got == {3: 3, 4: 4}
+
+
+def _brute(rows):
+    """(n_words, n_removed, sha of what is left) by number, in the order of the numbers."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = WORDS.findall(t)
+        gone = [False] * len(w)
+        for j in range(len(w) - 19):
+            if tuple(w[j : j + 20]) in seen:
+                gone[j : j + 20] = [True] * 20
+            seen.add(tuple(w[j : j + 20]))
+        out[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).digest())
+    return out
+
+
+def test_index_tells_each_batch_its_repeats_is_compacted_saved_and_opened(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FANOUT", 2)
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    passages = [prose(45) for _ in range(6)]
+    rows = [(k, " ".join([prose(rng.randint(0, 40)), *rng.sample(passages, rng.randint(0, 2)), prose(rng.randint(0, 30))])) for k in range(70)]
+    rows += [(70, rows[3][1]), (71, rows[69][1]), (72, passages[0]), (73, "")]
+    want, index = _brute(rows), substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+    for k in range(5):
+        part = rows[k * 15 : (k + 1) * 15]
+        got = index.append(spark.createDataFrame(part, "num long, text string"))
+        assert {r.num: (r.n_words, r.n_removed, bytes(r.sha)) for r in got.collect()} == {i: want[i] for i, _ in part}
+        if k == 2:
+            index.save()
+            index.close()
+            index = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    assert [len(x) for x in index.anchors.levels] == [1, 0, 1]  # five runs: four are one of the third level
+    assert sum(w[1] for w in want.values()) > 500
+    index.close(files=True)
+
+
+def test_many_copies_of_one_text_are_no_hot_task(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, text) for k in range(3000)] + [(5000 + k, "") for k in range(3000)]
+    got = substring_dedup.substring_dedup(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(k, 60 * (k > 0)) for k in range(3000)] + [(5000 + k, 0) for k in range(3000)]
+
+
+def test_texts_longer_than_a_slice(spark):
+    """The slices of the scans are half a MB; these texts are longer."""
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    tail = " ".join(long.split()[-2000:])
+    rows = [(1, long), (2, f"some words before {tail}"), (3, "x" * 600_000 + " " + tail), (4, long)]
+    assert len(long) > textscan.SLICE
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: (120_000, 0), 2: (2003, 2000), 3: (2001, 2000), 4: (120_000, 120_000)}
+    kept = {r.doc_id: r.kept for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert kept == {1: False, 2: True, 3: True, 4: True}
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
 def test_exact_dedup_matches_brute_force(spark):
     rows = corpus()
     groups: dict[str, list] = {}
