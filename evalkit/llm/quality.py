@@ -1,22 +1,25 @@
 """Operator 3: quality classifier, naive Bayes support vectors (NB-SVM).
 
-Features are indicators of the UTF-8 byte n-grams of a text (n = 1, 2 and 3; trigrams are
-hashed to 17 bits), and of word n-grams (n = 2 to REPEATS) whose words are all the same,
-which stand for such n-grams of any word. Each indicator is scaled by its class log-count ratio
-r = log((p / |p|) / (q / |q|)), p and q being the smoothed numbers of good and bad
-training texts with the n-gram, and a linear model with squared hinge loss is fitted to
-the scaled indicators by dual coordinate descent. A logistic curve fitted on training
-rows that the descent has not seen turns margins into scores.
-
-The fit uses SAMPLE labelled rows at most: those with the smallest hashes of doc_id.
-Only their ids, a bounded number, are broadcast to pick their texts; the corpus is never
-shuffled. Every whole text is scored in one scan; the broadcast model has a fixed size.
+Features are indicators of n-grams. Of the UTF-8 bytes of a text: n = 1, 2 and 3 (trigrams
+hashed to 17 bits). Of its words: n = PATTERN words up to renaming, that is, which of them
+are equal to which; such a pattern tells prose from lists and loops in any vocabulary. Each
+indicator is scaled by its class log-count ratio r = log((p / |p|) / (q / |q|)), p and q
+being the smoothed numbers of good and bad training texts with the n-gram, and a linear
+model with hinge loss is fitted to the scaled indicators by dual coordinate descent. A
+logistic curve fitted on training rows that the descent has not seen turns margins into
+scores.
+
+The fit uses SAMPLE labelled rows at most, those with the smallest hashes of doc_id, one
+row per doc_id, and of these as many as have SAMPLE_BYTES of features; all are counted and
+cut where they lie, so that the driver gets no more than that. The sample's ids, a bounded
+number, are broadcast to pick their texts; the corpus is never shuffled. Every whole text
+is scored in one scan; the broadcast model has a fixed size.
 
 Defined cases. Null texts count as empty, and an empty text gets the score of the bias
 alone; a null doc_id counts as held out and is never learned from; null labels are left
-out, of several labels of one document the smallest counts; repeated rows get equal
-scores. Without training rows of both classes every score is the share of good labels,
-0.5 if there are none.
+out, of several labels of one document the smallest counts, of several texts the one with
+the smallest hash; repeated rows get equal scores. Without training rows of both classes
+every score is the share of good labels, 0.5 if there are none.
 """
 
 from __future__ import annotations
@@ -29,17 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
-from .textscan import Slice, slices, word_hashes, words
+from .common import Scratch, documents, key_columns
+from .textscan import LOWER, Slice, slices, word_hashes, words
 
-#: Labelled rows that the fit uses at most, and the share of them that calibrates.
-SAMPLE, CALIBRATE = 10_000, 0.2
+#: Labelled rows that the fit uses at most, bytes of their features, and the share of them that calibrates.
+SAMPLE, SAMPLE_BYTES, CALIBRATE = 10_000, 200_000_000, 0.2
 FOLDS, THRESHOLD = 5, 0.3
-SMOOTH, COST, SWEEPS = 1.0, 0.1, 12
+SMOOTH, COST, SWEEPS = 1.0, 1.0, 12
 _TRI_BITS = 17
-REPEATS = 6
+PATTERN = 4
 _BYTE_DIMS = 256 + 65536 + (1 << _TRI_BITS)
-_DIMS = _BYTE_DIMS + REPEATS - 1
+#: A pattern is a bit for each two of its words.
+_DIMS = _BYTE_DIMS + (1 << PATTERN * (PATTERN - 1) // 2)
 
 
 def remainder(doc_id: Column, folds: int) -> Column:
@@ -52,23 +56,22 @@ def _grams(s: Slice) -> Iterator[np.ndarray]:
     two = 256 + d[:-1] * 256 + d[1:] if len(d) > 1 else np.zeros(0, np.int32)
     mixed = (d[:-2].astype(np.uint32) << 16 | d[1:-1].astype(np.uint32) << 8 | d[2:].astype(np.uint32)) * np.uint32(2654435761) if len(d) > 2 else np.zeros(0, np.uint32)
     three = (mixed >> np.uint32(32 - _TRI_BITS)).astype(np.int32) + 256 + 65536
-    longest = _repeats(s)
-    for a, b, n in zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), longest.tolist(), strict=True):
-        yield np.concatenate([d[a:b], two[a : max(a, b - 1)], three[a : max(a, b - 2)], np.arange(_BYTE_DIMS, _BYTE_DIMS + min(n, REPEATS) - 1, dtype=np.int32)])
+    shape, first = _patterns(s)
+    for k, (a, b) in enumerate(zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)):
+        yield np.concatenate([d[a:b], two[a : max(a, b - 1)], three[a : max(a, b - 2)], shape[first[k] : max(first[k], first[k + 1] - PATTERN + 1)]])
 
 
-def _repeats(s: Slice) -> np.ndarray:
-    """For each row the length of its longest run of one word, up to REPEATS (at least 1)."""
+def _patterns(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The index of the pattern that begins at each word, and each row's first word."""
     begin, end, first = words(s.data, s.bounds)
-    h = word_hashes(s.data, begin, end)
-    row = np.repeat(np.arange(len(s)), np.diff(first))
-    out = np.ones(len(s), np.int32)
-    same = np.ones(len(h), bool)
-    for n in range(2, REPEATS + 1):
-        k = n - 1
-        same = same[: len(h) - k] & (h[k:] == h[:-k]) & (row[k:] == row[:-k]) if len(h) > k else np.zeros(0, bool)
-        out[row[: len(same)][same]] = n
-    return out
+    h = word_hashes(LOWER[s.data], begin, end)
+    n = max(len(h) - PATTERN + 1, 0)
+    out, bit = np.full(n, _BYTE_DIMS, np.int32), 0
+    for a in range(1, PATTERN):
+        for b in range(a):
+            out += (h[a : a + n] == h[b : b + n]).astype(np.int32) << bit
+            bit += 1
+    return out, first
 
 
 @dataclass
@@ -92,17 +95,17 @@ class Model:
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dims: int, cost: float, sweeps: int, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-regularised squared hinge loss; the last weight is the bias."""
+    """Dual coordinate descent for the L2-regularised hinge loss: each dual variable in turn to its best value from 0 to cost; the last weight is the bias."""
     w, bias, alpha = np.zeros(dims), 0.0, np.zeros(len(rows))
-    square = np.array([v @ v + 1 for v in values]) + 0.5 / cost
+    square = np.array([v @ v + 1 for v in values])
     order = np.random.default_rng(seed)
     for _ in range(sweeps):
         largest = 0.0
         for i in order.permutation(len(rows)):
             x, v = rows[i], values[i]
-            g = y[i] * (w[x] @ v + bias) - 1 + 0.5 / cost * alpha[i]
-            if alpha[i] > 0 or g < 0:
-                a = max(alpha[i] - g / square[i], 0.0)
+            g = y[i] * (w[x] @ v + bias) - 1
+            a = min(max(alpha[i] - g / square[i], 0.0), cost)
+            if a != alpha[i]:
                 step = (a - alpha[i]) * y[i]
                 w[x] += step * v
                 bias += step
@@ -160,11 +163,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             found = [np.unique(g).astype(np.int32).tobytes() for g in _grams(s)]
-            yield pa.record_batch([s.rows.column("doc_id"), s.rows.column("good"), pa.array(found, pa.binary())], ["doc_id", "good", "grams"])
+            yield pa.record_batch([*(s.rows.column(c) for c in ("doc_id", "k_tx", "good")), pa.array(found, pa.binary())], ["doc_id", "k_tx", "good", "grams"])
 
     # The sample's ids are at most ``sample`` rows, so this broadcast is bounded.
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    table = texts.mapInArrow(features, "doc_id long, good int, grams binary").toArrow()
+    scratch = Scratch(docs.sparkSession, "quality")
+    texts = docs.select("doc_id", key_columns()[1].alias("k_tx"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = texts.mapInArrow(features, "doc_id long, k_tx long, good int, grams binary")
+    rows = scratch.save(rows.groupBy("doc_id").agg(F.min_by(F.struct("good", "grams"), "k_tx").alias("row")).select("doc_id", F.xxhash64("doc_id").alias("place"), "row.*"))
+    # A row of two numbers for each id of the sample: where the features of the rows before reach SAMPLE_BYTES.
+    sizes = rows.select("place", "doc_id", F.octet_length("grams").alias("n")).orderBy("place", "doc_id").toArrow()
+    total = np.cumsum(np.asarray(sizes["n"], np.int64)) if sizes.num_rows else np.zeros(0, np.int64)
+    last = int(np.searchsorted(total, SAMPLE_BYTES, side="right"))
+    if last < sizes.num_rows:
+        place, doc = sizes["place"][last].as_py(), sizes["doc_id"][last].as_py()
+        rows = rows.where((F.col("place") < place) | (F.col("place") == place) & (F.col("doc_id") < doc))
+    table = rows.toArrow()
     order = np.argsort(np.array(table["doc_id"].to_pylist(), np.int64), kind="stable")
     rows, good = table["grams"].to_pylist(), np.array(table["good"].to_pylist(), np.int64) == 1
     mixed = np.random.default_rng(11).permutation(order)
