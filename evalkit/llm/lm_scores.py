@@ -13,18 +13,20 @@ with all c from the filter and m = 0 for a history it doesn't hold.
 1. One scan counts words. Distinct words go to a table (exact, one row each).
 2. One scan counts unigrams and bigrams into hash buckets, as packed arrays that are
    pre-aggregated per task; each bucket, of about BUCKET_TOKENS tokens whatever the size
-   of the corpus, becomes one block of the filter, of BITS bits per inserted level. N-grams
-   seen fewer than MIN_COUNT times are not inserted. Blocks are a table in the shared folder
-   that grows with the corpus; no process holds them all.
-3. Rows are grouped into units of about UNIT_BYTES of text, and each unit's distinct
-   n-grams are listed by bucket. Requests meet their block in a join on the bucket, which
+   of the corpus, becomes one block of the filter, of BITS bits per inserted level. Every
+   n-gram is inserted, those seen once too. Blocks are a table in the shared folder that
+   grows with the corpus; no process holds them all.
+3. One scan groups rows into units of about UNIT_BYTES of text, and lists each unit's
+   distinct n-grams by bucket. Requests meet their block in a join on the bucket, which
    answers with one byte, the level, for each n-gram; answers meet their unit's rows in a
    join on the unit, which scores them. It also gets the exact counts of the most frequent
    words (HOT_WORDS at most). Base scores are exact: words outside the hot table are
    joined with the exact count table and come back as one sum per document.
 
-Words are identified by 64-bit hashes; among V distinct words about V**2 / 2**65 pairs can
-be expected to collide.
+An unseen n-gram is read as one seen once by chance, about one time in 85; a stored one is
+never read too low. Counts are quantised, so the probabilities of a history's words add up
+to one only as far as the levels allow. Words are identified by 64-bit hashes of their
+bytes; among V distinct words about V**2 / 2**65 pairs can be expected to collide.
 
 Defined cases. A null text counts as empty and has one token, the end; a null doc_id has
 the crc32 of an empty text as its fold; repeated rows each count in training and get equal
@@ -47,7 +49,7 @@ from .quality import remainder
 from .textscan import LOWER, Slice, mix, slices, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
-BASE, MIN_COUNT, PROBES, BITS = 1.5, 2, 4, 10
+BASE, PROBES, BITS = 1.5, 4, 10
 LAMBDA, PRIOR = 0.6, 30.0
 HOT_WORDS, BUCKET_TOKENS = 1_000_000, 1 << 20
 #: Bytes of text that are scored together.
@@ -183,7 +185,6 @@ def _block(most_bits: int | None = None):
             keys.append(x)
             counts.append(np.frombuffer(c, np.uint8 if len(c) == len(x) else np.int64).astype(np.int64))
         k, c = _summed(np.concatenate(keys), np.concatenate(counts))
-        k, c = k[c >= MIN_COUNT], c[c >= MIN_COUNT]
         top = levels(c)
         bits = max(64, BITS * int(top.sum()))
         bits = bits if most_bits is None else min(bits, most_bits)
@@ -210,11 +211,6 @@ def _read_levels(inner: np.ndarray, data: np.ndarray, offset: np.ndarray, bits:
     return level
 
 
-def _known(level: np.ndarray) -> np.ndarray:
-    """Counts of levels; a level below that of MIN_COUNT can only be read by chance."""
-    return count_of(np.where(level >= int(levels(np.array([MIN_COUNT]))[0]), level, 0))
-
-
 @dataclass
 class Filter:
     """The blocks one after another; offset and bits of each bucket's block."""
@@ -235,7 +231,7 @@ class Filter:
         shift = _U(64 - (len(self.bits).bit_length() - 1))
         bucket, inner = (keys >> shift).astype(np.int64), _inner(keys, shift)
         offset, bits = self.offset[bucket], self.bits[bucket]
-        return _known(_read_levels(inner, self.data, offset, bits))
+        return count_of(_read_levels(inner, self.data, offset, bits))
 
 
 @dataclass
@@ -259,31 +255,35 @@ def _ngrams(tokens: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens, pairs, np.array([_BEGIN], _U)])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the unit that they belong to."""
-    names, unit, size = ["k_id", "k_tx", "doc_id", "text"], 0, UNIT_BYTES
-    for s in slices(batches):
-        if size >= UNIT_BYTES:
-            unit, size = int.from_bytes(os.urandom(8), "little", signed=True), 0
-        size += len(s.data)
-        yield pa.record_batch([pa.array(np.full(len(s), unit)), *(s.rows.column(c) for c in names)], ["unit", *names])
+_UNIT = "unit long, k_id long, k_tx long, doc_id long, text string, bucket int, keys binary"
 
 
-def _requests(buckets: int):
-    """A unit's distinct n-grams: one row (unit, bucket, keys) for each bucket."""
-    shift = _U(64 - (buckets.bit_length() - 1))
+def _units(buckets: int):
+    """Rows with the unit that they belong to, and after each unit's rows its distinct n-grams: a row (unit, bucket, keys) for each bucket."""
+    shift, names = _U(64 - (buckets.bit_length() - 1)), ["unit", "k_id", "k_tx", "doc_id", "text", "bucket", "keys"]
 
-    def run(rows: pa.Table) -> pa.Table:
-        grams = []
-        for s in slices(iter(rows.to_batches())):
-            tokens, starts = token_hashes(s)
-            grams.append(np.unique(_ngrams(tokens, bigram_hashes(tokens, starts)[1])))
+    def asked(unit: int, grams: list[np.ndarray]) -> pa.RecordBatch:
         k = np.unique(np.concatenate(grams))
         bucket = (k >> shift).astype(np.int32)
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = pa.py_buffer(np.append(at, len(k)).astype(np.int32) * 4)
         keys = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(_inner(k, shift))])
-        return pa.table({"unit": pa.array(np.full(len(at), rows["unit"][0].as_py())), "bucket": pa.array(bucket[at]), "keys": keys})
+        none, text = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string())
+        return pa.record_batch([pa.array(np.full(len(at), unit)), none, none, none, text, pa.array(bucket[at]), keys], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, size, grams = 0, UNIT_BYTES, []
+        for s in slices(batches):
+            if size >= UNIT_BYTES:
+                if grams:
+                    yield asked(unit, grams)
+                unit, size, grams = int.from_bytes(os.urandom(8), "little", signed=True), 0, []
+            size += len(s.data)
+            tokens, starts = token_hashes(s)
+            grams.append(np.unique(_ngrams(tokens, bigram_hashes(tokens, starts)[1])))
+            yield pa.record_batch([pa.array(np.full(len(s), unit)), *(s.rows.column(c) for c in names[1:5]), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names)
+        if grams:
+            yield asked(unit, grams)
 
     return run
 
@@ -321,7 +321,7 @@ def _score_unit(shared):
         level = np.frombuffer(b"".join(got[b] for b in sorted(got)), np.uint8)
         if len(level) != len(grams):
             raise ValueError(f"{len(level)} levels for {len(grams)} n-grams")
-        counts = _known(level.astype(np.int64))
+        counts = count_of(level.astype(np.int64))
         out = []
         for s, tokens, starts, before, pairs in parts:
             word, which = np.unique(tokens, return_inverse=True)
@@ -369,14 +369,14 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    units = scratch.save(keyed(docs).mapInArrow(_units, "unit long, k_id long, k_tx long, doc_id long, text string"))  # written, as the units' names are random
-    requests = units.groupBy("unit").applyInArrow(_requests(model.filter.buckets), "unit long, bucket int, keys binary")
+    both = scratch.save(keyed(docs).mapInArrow(_units(model.filter.buckets), _UNIT))  # written, as the units' names are random
+    units, requests = both.where("bucket is null").select("unit", "k_id", "k_tx", "doc_id", "text"), both.where("bucket is not null").select("unit", "bucket", "keys")
     answers = requests.groupBy("bucket").cogroup(model.filter.table.groupBy("bucket")).applyInArrow(_answer, "unit long, bucket int, levels binary")
     shared = docs.sparkSession.sparkContext.broadcast((model.hot, model.hot_counts, model.tokens, model.distinct))
     rows = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_unit(shared), "k_id long, k_tx long, doc_id long, n long, known long, base double, score double, rest array<long>")
     rows = scratch.save(rows)
     shared.destroy()
-    scratch.drop(units)
+    scratch.drop(both)
     rest = rows.where(F.size("rest") > 0).groupBy("k_id", "k_tx").agg(F.first("rest").alias("rest"))
     rest = rest.select("k_id", "k_tx", F.explode("rest").alias("h")).join(counts, "h")
     tail = rest.groupBy("k_id", "k_tx").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
