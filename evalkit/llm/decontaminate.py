@@ -9,21 +9,26 @@ floor(RATE * L) edits of the item. Per item-sized window of a document:
    again, so edit distance becomes Hamming distance.
 2. LSH samples SAMPLED positions of the walk, REPEATS times for each of WALKS independent
    walks; a window is a candidate if one sample agrees with the item's throughout. The
-   constants are set for a recall of 0.99 at the threshold, measured in the tests.
+   constants are set for a recall of 0.99 or more of windows at the threshold while about
+   one in twenty-five unrelated windows passes; the tests measure both.
 3. The candidate's passage, widened by the threshold on both sides, is verified by exact
    (bit-parallel) infix edit distance.
 
 Windows are laid where a match is possible at all: an item cut into k + SEEDS pieces has,
 within k edits, SEEDS pieces that occur unchanged, on diagonals at most k apart. One
 automaton finds the pieces of all items in a text; windows without SEEDS consistent
-pieces cannot be within k edits and are not embedded. That rule loses nothing.
+pieces cannot be within k edits and are not embedded. That rule loses nothing. Items of
+fewer than SHORT characters allow too few edits for the walk to tell; their windows are all
+candidates, and an item that allows no edit is its own only piece.
 
 One scan over the documents, no shuffle. Items are broadcast in blocks of BLOCK_CHARS
-characters; a larger benchmark takes more scans, whose results are joined.
+characters, dealt by item and not by text, so that equal items spread; a larger benchmark
+takes more scans, whose results are joined.
 
-Defined cases. Null and empty texts are clean; null or empty items, and items of fewer
-than MIN_CHARS characters, match nothing; equal items are each reported; repeated rows get
-equal results; null doc_ids are carried through.
+Defined cases. Null and empty texts are clean; null items and items without a character
+other than white space match nothing; an item may be as short as one character, and matches
+inside words too; equal items are each reported; repeated rows get equal results; null
+doc_ids are carried through.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import documents, keyed
 from .textscan import mix
 
-RATE, SEEDS, MIN_CHARS = 0.1, 2, 32
-WALKS, REPEATS, SAMPLED = 4, 32, 2
+RATE, SEEDS, SHORT = 0.1, 2, 32
+WALKS, REPEATS, SAMPLED = 16, 64, 6
 BLOCK_CHARS = 4_000_000
 _CLASSES = 64
 
@@ -121,13 +126,14 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, seeds: int = SEEDS):
         import ahocorasick
 
-        self.items = [(i, t) for i, t in items if len(t) >= MIN_CHARS]
+        self.items = [(i, t) for i, t in items if t]
         self.most = [allowed(len(t), rate) for _, t in self.items]
         self.masks = [masks_of(t) for _, t in self.items]
-        self.seeds = seeds
+        self.seeds = [seeds if k else 1 for k in self.most]
+        self.short = np.array([len(t) < SHORT for _, t in self.items], bool)
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, t) in enumerate(self.items):
-            n = self.most[k] + seeds
+            n = self.most[k] + self.seeds[k]
             cuts = [j * len(t) // n for j in range(n + 1)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces[t[a:b]].append((k, a))
@@ -148,15 +154,15 @@ class Matcher:
                 seen[k].append((end + 1 - n - a, a))
         out = []
         for k, found in seen.items():
-            if len(found) < self.seeds:
+            most, done, seeds = self.most[k], None, self.seeds[k]
+            if len(found) < seeds:
                 continue
             found.sort()
-            most, done = self.most[k], None
             lo = 0
             for hi, (diagonal, _) in enumerate(found):
                 while diagonal - found[lo][0] > most:
                     lo += 1
-                if hi - lo + 1 >= self.seeds and (done is None or found[lo][0] > done) and len({a for _, a in found[lo : hi + 1]}) >= self.seeds:
+                if hi - lo + 1 >= seeds and (done is None or found[lo][0] > done) and len({a for _, a in found[lo : hi + 1]}) >= seeds:
                     out.append((k, max(0, found[(lo + hi) // 2][0])))
                     done = found[hi][0]
         return out
@@ -171,7 +177,8 @@ class Matcher:
             block = asked[part : part + 2000]
             sizes = [len(self.items[k][1]) for _, k, _ in block]
             sketch = self.walks.sketches([texts[d][a : a + n] for (d, _, a), n in zip(block, sizes, strict=True)], sizes)
-            agree = (sketch == self.sketch[[k for _, k, _ in block]]).all(-1).any((1, 2))
+            which = [k for _, k, _ in block]
+            agree = (sketch == self.sketch[which]).all(-1).any((1, 2)) | self.short[which]
             for (d, k, a), n, hit in zip(block, sizes, agree.tolist(), strict=True):
                 if not hit or out[d].get(k) == 0:
                     continue
@@ -190,7 +197,7 @@ def _blocks(items: DataFrame, id_col: str = "item_id") -> Iterator[list[tuple[in
     size = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = -(-size // BLOCK_CHARS) or 1
     for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("i", "text").collect()
+        part = rows.where(F.pmod(F.xxhash64("i", "text"), F.lit(blocks)) == b).orderBy("i", "text").collect()
         yield [(r.i, normal(r.text)) for r in part]
 
 
