@@ -30,10 +30,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     document that is listed several times. All other columns are left out, so that extra
     columns never clash with the operators' own.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k_id"), F.xxhash64(text).alias("k_tx"), text.alias("text")
-    )
+    k_id, k_tx = key_columns()
+    return docs.select("doc_id", k_id.alias("k_id"), k_tx.alias("k_tx"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def key_columns() -> tuple[Column, Column]:
+    """A row's identity, from doc_id and text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def lower_ascii(c: Column) -> Column:

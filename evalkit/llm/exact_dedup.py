@@ -17,9 +17,10 @@ Naming aggregates before it shuffles, and look-ups are plain equi-joins that ada
 execution splits, so a block that a third of all documents share is no hot task.
 
 Defined cases. Null counts as empty; a null doc_id is the smallest; if all of a group's
-doc_ids are null, keep_id is null and the rows stay; rows that repeat a doc_id and text
-are one document listed several times and are kept or dropped together. An empty table
-gives an empty result.
+doc_ids are null, keep_id is null and the rows stay. Of several rows with the group's
+largest doc_id, which are one document listed several times (their texts may differ in the
+case of letters), ``kept`` is true for each; ``keep_one`` keeps a single one of them, the
+one with the least text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, lower_ascii
 from .textscan import LOWER, slices
 
 BLOCK = 4096
@@ -72,9 +73,9 @@ def _hash(block: bytes) -> int:
 
 
 def _named(distinct: DataFrame, *keys: str) -> DataFrame:
-    """Distinct rows, shuffled and sorted by keys, with their place in that order as ``name`` (from 1)."""
+    """Distinct rows, shuffled by all keys (many pairs may begin with one common block) and sorted by them, with their place in that order as ``name`` (from 1)."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.repartition(parts, keys[0]).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id() + 1)
+    return distinct.repartition(parts, *keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id() + 1)
 
 
 def block_identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
@@ -137,6 +138,26 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group of equal texts."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    ids = scratch.save(block_identities(docs, scratch, block))
+    groups = ids.groupBy("levels", "name").agg(F.max("doc_id").alias("id"))
+    top = ids.join(groups, ["levels", "name"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    # Texts are told by their normalised digest; a group of one row at the top needs no more than its id and that.
+    top = scratch.save(top.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("listed")))
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    named = docs.toDF(*names)
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    sha = F.unhex(F.sha2(F.encode(lower_ascii(F.coalesce(text, F.lit(""))), "UTF-8"), 256))
+    found = lambda some: named.join(some.select("id", "sha").hint("merge"), id_.cast("long").eqNullSafe(F.col("id")) & (sha == F.col("sha")), "left_semi")
+    once = found(top.where("listed = 1"))
+    if not top.where("listed > 1").limit(1).count():
+        return once.toDF(*docs.columns)
+    several = found(top.where("listed > 1")).groupBy(id_.alias("_id"), sha.alias("_sha")).agg(F.min_by(F.struct(*names), text).alias("row"))
+    return once.unionByName(several.select("row.*")).toDF(*docs.columns)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, documents, keyed
+from .common import NULL_ID, Scratch, documents, key_columns, keyed
 from .components import connected
 from .textscan import LOWER, Slice, mix, slices, window_hashes, window_starts, word_hashes, words
 
@@ -286,6 +286,17 @@ class _Join:
         return self.rows.join(named, ["n", "digest"], "left").select("k_id", "k_tx", "n", F.coalesce("least", "k_id").alias("least"))
 
 
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the document with the smallest doc_id, of several texts under that id the one with the least hash. Documents without shingles all stay; rows equal in id and text stay or go together."""
+    scratch = Scratch(docs.sparkSession, "near")
+    found = _Join(docs, size, percent).run()
+    lone = found.where("n = 0").select("k_id", "k_tx")
+    firsts = found.where("n > 0").groupBy("least").agg(F.min(F.struct("k_id", "k_tx")).alias("first")).select("first.*")
+    kept = scratch.save(firsts.union(lone).distinct()).toDF("_k_id", "_k_tx").hint("merge")
+    id_, tx = key_columns()
+    return docs.join(kept, (id_ == F.col("_k_id")) & (tx == F.col("_k_tx")), "left_semi")
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id of those it reaches by links)."""
     out = _Join(docs, size, percent).run()
