@@ -152,6 +152,13 @@ def test_exact_dedup_matches_brute_force(spark):
     assert exact_dedup.exact_dedup(empty(spark)).collect() == []
 
 
+def test_exact_dedup_of_texts_that_share_their_first_block(spark):
+    head = "h" * 64
+    rows = [(k, f"{head}{k % 2500:06d}") for k in range(5000)] + [(9000, f"{head}000001"), (9000, f"{head.upper()}000001")]
+    got = exact_dedup.exact_dedup(frame(spark, rows), block=16).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.doc_id in (1, 2501, 9000, 7, 2507)} == {(1, 9000, 4, False), (2501, 9000, 4, False), (9000, 9000, 4, True), (7, 2507, 2, False), (2507, 2507, 2, True)}
+
+
 def test_exact_dedup_survives_hash_collisions(spark, monkeypatch):
     rows = [(k, t) for k, t in enumerate(["abcdefgh", "abcdefgx", "abcdefgh", "", "zz", "abcdabcd", "ABCDABCD"])]
     scratch = Scratch(spark, "test")

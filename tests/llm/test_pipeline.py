@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from evalkit.llm import queries
+from evalkit.llm import decontaminate, queries
 
-from .odd import corpus, frame
+from .odd import LOWER, corpus, frame
 
 
 def test_stages_keep_columns_and_only_drop_rows(spark, sf):
@@ -41,6 +41,38 @@ def test_near_stage_takes_five_words_and_four_fifths(spark, sf):
     assert kept == {0, 2, 4, 6, 7}
 
 
+def test_rows_are_told_apart_by_id_and_text(spark, sf):
+    rows = [(3, "same text"), (3, "another text"), (5, "same text"), (5, "same text"), (None, "lone"), (None, None), (8, ""), (9, "Same Text"), (9, "same TEXT"), (None, "lone")]
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.exact_copies(spark, frame(spark, rows), sf).collect()), key=repr)
+    assert kept == sorted([(3, "another text"), (9, "Same Text"), (None, "lone"), (8, "")], key=repr)
+    words = [f"w{k}" for k in range(60)]
+    base, copy, other = " ".join(words), " ".join([*words[:59], "x"]), " ".join(f"o{k}" for k in range(30))
+    rows = [(3, base), (3, other), (5, copy), (2, copy + " y"), (7, None), (None, ""), (9, "one")]
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, frame(spark, rows), sf).collect()), key=repr)
+    assert kept == sorted([(2, copy + " y"), (3, other), (7, None), (None, ""), (9, "one")], key=repr)
+
+
+def test_exact_and_decontaminate_stages_match_brute_force(spark, sf):
+    docs = frame(spark, corpus())
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    best: dict[str, tuple] = {}
+    for r in sorted(rows, key=lambda r: (key(r), [-ord(c) for c in r[1] or ""])):
+        best[(r[1] or "").translate(LOWER)] = r
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.exact_copies(spark, docs, sf).collect()), key=repr)
+    assert sorted((repr(i), (t or "").translate(LOWER)) for i, t in got) == sorted((repr(r[0]), t) for t, r in best.items())
+    clean = corpus_pipeline.benchmark_free(spark, docs, sf)
+    hit = [r for r in decontaminate.matches(docs, items).collect() if r.item_ids]
+    assert clean.count() == len(rows) - len(hit)
+
+
+def test_stages_take_empty_tables(spark, sf):
+    docs = frame(spark, corpus()).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).collect() == []
+
+
 def test_every_query_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
