@@ -4,8 +4,8 @@ quality -> exact -> near -> decontaminate -> encode
 
 All stages but the last take and return the columns of ``documents``; a stage works on
 every row that its predecessor kept, and what it rejects is gone. The last returns each
-remaining document's token ids. Rows that repeat a doc_id and text are one document listed
-several times and pass or go together.
+remaining document's token ids. Rows are told apart by doc_id and text together, so a
+doc_id may carry several texts. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -24,15 +24,6 @@ from evalkit.session import ship
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _ids_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is in ids (null equals null).
-
-    A merge join at every size: the ids grow with the documents and are never broadcast.
-    """
-    named = ids.select(F.col("doc_id").alias("_kept_id")).distinct().hint("merge")
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept_id"]), "left_semi").select(*docs.columns)
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     ship(spark)
@@ -40,15 +31,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, keeps the one with the largest doc_id."""
+    """Of documents with equal texts, keeps one row: that with the largest doc_id."""
     ship(spark)
-    return _ids_in(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    return exact_dedup.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the Jaccard join on 5-word shingles at 0.8, keeps the document with the smallest doc_id."""
     ship(spark)
-    return _ids_in(docs, jaccard_join.jaccard_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <=> component_id"))
+    return jaccard_join.keep_one(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
