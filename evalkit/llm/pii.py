@@ -1,25 +1,27 @@
 """Operator 4: personal data, with information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found per kind from
-left to right in linear time. Each distinct value is a protected entity e. The words
-within CONTEXT words of an entity's occurrences are its context, and corpus counts say how
-much a word t reveals of it. With N words in the corpus, c(t) occurrences of t, n(e) words
-in the contexts of e and n(t, e) occurrences of t among them,
+left to right in linear time. Each distinct value is a protected entity e, the words of a
+document that lie outside its spans are terms t, and the corpus says how much a term
+reveals of an entity: with c(t) documents that have t and n(t, e) that have both,
 
-    IC(e) = log2(N / n(e)),  PMI(t; e) = log2(N * n(t, e) / (c(t) * n(e))),
+    doubt = log2((c(t) + SMOOTH) / n(t, e))
 
-and IC(e) - PMI(t; e) = log2(c(t) / n(t, e)) bits of doubt about e remain to a reader who
-sees t. In the contexts of e, a word that leaves REMOVE bits or less is removed, one that
-leaves GENERALISE bits or less is replaced by its class; it takes SUPPORT joint
-occurrences for the estimate to count. Words that leave more doubt stay.
+bits of doubt about e remain to a reader who sees t (IC(e) - PMI(t; e), smoothed by SMOOTH
+documents without e, so that a single occurrence does not prove as much as many). In a
+document with e, a term that leaves REMOVE bits or less is removed, one that leaves
+GENERALISE bits or less is replaced by its class. Terms that leave more doubt stay.
 
-Counts cover all documents. Joint counts grow with the number of entities times 2 * CONTEXT,
-never with products of terms; they are aggregated before they are shuffled, so an entity
-that a third of all documents share is an ordinary key.
+Counts cover all documents and whole texts. Entities that occur in the same documents have
+the same counts and are one class, so an address book is one class however many values it
+has; a class that occurs in d documents can only be revealed by terms of 2**GENERALISE * d
+- SMOOTH documents or less, and only such pairs are counted. For classes of one document
+the count is one, and nothing is counted at all. Every count is aggregated before it is
+shuffled, so an entity that a third of all documents share is an ordinary key.
 
 Defined cases. Null counts as empty and has no spans; a null doc_id is carried through;
-rows equal in id and text get equal spans; empty tables give empty results; a span's
-offsets are code points of the unchanged text, end exclusive.
+rows equal in id and text are one document for the counts and get equal spans; empty tables
+give empty results; a span's offsets are code points of the unchanged text, end exclusive.
 """
 
 from __future__ import annotations
@@ -34,11 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, keyed
-from .lm_scores import _count_words
 from .textscan import LOWER, slices, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, REMOVE, GENERALISE = 8, 2, 1.0, 2.0
+SMOOTH, REMOVE, GENERALISE = 1, 1.0, 2.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -96,73 +97,115 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [emails(text), ips(text) if digits else [], cards(text) if digits else [], phones(text) if digits else []]
 
 
-def _contexts(text: str, raw: np.ndarray, found: list[list[tuple[int, int]]], reach: int) -> list[dict]:
-    """(entity, term, start, end) for the words around each span, once per entity and word; words that touch a span are no terms."""
+def _words(text: str, raw: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (code points) of the words that touch no span."""
     begin, end, _ = words(raw, np.array([0, len(raw)]))
     hashes = word_hashes(LOWER[raw], begin, end).view(np.int64)
     place = np.concatenate([np.cumsum((raw & 0xC0) != 0x80) - 1, [len(text)]])
     a, b = place[begin], np.where(end < len(raw), place[np.minimum(end, len(raw))], len(text))
     free = np.ones(len(a), bool)
-    spans = [(k, s, e) for k, some in zip(KINDS, found, strict=True) for s, e in some]
-    edges = [(int(np.searchsorted(b, s, side="right")), int(np.searchsorted(a, e, side="left"))) for _, s, e in spans]
-    for i, j in edges:
-        free[i:j] = False
-    seen = set()
-    for (kind, s, e), (i, j) in zip(spans, edges, strict=True):
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{text[s:e].lower()}") - 2**63
-        seen.update((entity, w) for w in (*range(max(0, i - reach), i), *range(j, min(len(a), j + reach))) if free[w])
-    return [{"e": entity, "t": int(hashes[w]), "a": int(a[w]), "b": int(b[w])} for entity, w in sorted(seen)]
-
-
-_CTX = "array<struct<e: long, t: long, a: int, b: int>>"
-_ROWS = "k_id long, k_tx long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, context " + _CTX
-
-
-def _scan(reach: int):
-    kind = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            counts, base, context = [[] for _ in KINDS], [], []
-            for k, text in enumerate(s.rows.column("text").to_pylist()):
-                found = base_spans(text)
-                for n, some in zip(counts, found, strict=True):
-                    n.append(len(some))
-                if any(found):
-                    base.append(",".join(f"{name}:{a}:{b}" for name, some in zip(KINDS, found, strict=True) for a, b in some))
-                    context.append(_contexts(text, s.data[s.bounds[k] : s.bounds[k + 1]], found, reach))
-                else:
-                    base.append("")
-                    context.append([])
-            cols = [*(s.rows.column(c) for c in ("k_id", "k_tx", "doc_id")), *(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string()), pa.array(context, kind)]
-            yield pa.record_batch(cols, ["k_id", "k_tx", "doc_id", *(f"n_{k}" for k in KINDS), "base", "context"])
-
-    return run
-
-
-def revealing(context: DataFrame, counts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(e, t, doubt): the pairs that leave ``generalise`` bits of doubt or less."""
-    joint = context.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    told = joint.join(counts.select(F.col("h").alias("t"), "c"), "t")
-    return told.select("e", "t", F.log2(F.col("c") / F.col("n")).alias("doubt")).where(F.col("doubt") <= generalise)
-
-
-def find(docs: DataFrame, reach: int = CONTEXT, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    for s, e in spans:
+        free[np.searchsorted(b, s, side="right") : np.searchsorted(a, e, side="left")] = False
+    return hashes[free], a[free], b[free]
+
+
+_ROWS = "k_id long, k_tx long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<long>, text string"
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans of each row; of rows that have some also the distinct entities and terms, and the text."""
+    longs = pa.list_(pa.int64())
+    for s in slices(batches):
+        counts, base, entities, terms, kept = [[] for _ in KINDS], [], [], [], []
+        for k, text in enumerate(s.rows.column("text").to_pylist()):
+            found = base_spans(text)
+            for n, some in zip(counts, found, strict=True):
+                n.append(len(some))
+            spans = [(kind, a, b) for kind, some in zip(KINDS, found, strict=True) for a, b in some]
+            base.append(",".join(f"{kind}:{a}:{b}" for kind, a, b in spans))
+            entities.append(sorted({xxhash.xxh3_64_intdigest(f"{kind}:{text[a:b].lower()}") - 2**63 for kind, a, b in spans}))
+            terms.append(np.unique(_words(text, s.data[s.bounds[k] : s.bounds[k + 1]], [x[1:] for x in spans])[0]) if spans else [])
+            kept.append(text if spans else None)
+        cols = [*(s.rows.column(c) for c in ("k_id", "k_tx", "doc_id")), *(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string())]
+        yield pa.record_batch([*cols, pa.array(entities, longs), pa.array(terms, longs), pa.array(kept, pa.string())], ["k_id", "k_tx", "doc_id", *(f"n_{k}" for k in KINDS), "base", "entities", "terms", "text"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c): in how many of a task's documents each word occurs."""
+    keys, held = [], 0
+
+    def out() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.record_batch([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    for s in slices(batches):
+        data = LOWER[s.data]
+        begin, end, first = words(data, s.bounds)
+        h = word_hashes(data, begin, end).view(np.int64)
+        row = np.repeat(np.arange(len(s)), np.diff(first))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        keys.append(h[new])
+        held += int(new.sum())
+        if held >= 2_000_000:
+            yield out()
+            keys, held = [], 0
+    if held:
+        yield out()
+
+
+def revealing(rows: DataFrame, counts: DataFrame, scratch: Scratch, smooth: int = SMOOTH, generalise: float = GENERALISE) -> DataFrame:
+    """(k_id, k_tx, t, doubt): the terms of each document that leave ``generalise`` bits of doubt or less about one of its entities."""
+    most = float(2**generalise)
+    held = rows.select("k_id", "k_tx", F.explode("entities").alias("e"))
+    sets = held.groupBy("e").agg(F.count(F.lit(1)).alias("d"), F.sum(F.xxhash64("k_id", "k_tx").cast("decimal(38,0)")).alias("of"))
+    classes = scratch.save(held.join(sets, "e").select("k_id", "k_tx", "d", "of").distinct())
+    top = classes.agg(F.max("d")).first()[0] or 0
+    rare = counts.where(F.col("c") + smooth <= most * top).select(F.col("h").alias("t"), "c")
+    terms = scratch.save(rows.select("k_id", "k_tx", F.explode("terms").alias("t")).join(rare, "t"))
+    # Documents whose entities occur nowhere else: each count is one.
+    alone = classes.where("d = 1").select("k_id", "k_tx").distinct()
+    lone = terms.where(F.col("c") + smooth <= most).join(alone, ["k_id", "k_tx"], "left_semi").select("k_id", "k_tx", "t", F.log2(F.col("c") + smooth).alias("doubt"))
+    both = classes.where("d > 1").join(terms, ["k_id", "k_tx"]).where(F.col("c") + smooth <= most * F.col("d"))
+    told = both.groupBy("d", "of", "t").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"))
+    told = told.select("d", "of", "t", F.log2((F.col("c") + smooth) / F.col("n")).alias("doubt")).where(F.col("doubt") <= generalise)
+    return lone.union(both.join(told, ["d", "of", "t"]).select("k_id", "k_tx", "t", "doubt")).groupBy("k_id", "k_tx", "t").agg(F.min("doubt").alias("doubt"))
+
+
+_TERMS = "array<struct<a: int, b: int, doubt: double>>"
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every place of a document's listed terms."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("doubt", pa.float64())]))
+    for s in slices(batches):
+        out = []
+        for k, (text, base, told) in enumerate(zip(*(s.rows.column(c).to_pylist() for c in ("text", "base", "told")), strict=True)):
+            spans = [tuple(map(int, x.split(":")[1:])) for x in base.split(",")]
+            h, a, b = _words(text, s.data[s.bounds[k] : s.bounds[k + 1]], spans)
+            doubt = {x["t"]: x["doubt"] for x in told}
+            out.append([{"a": x, "b": y, "doubt": doubt[w]} for w, x, y in zip(h.tolist(), a.tolist(), b.tolist(), strict=True) if w in doubt])
+        yield pa.record_batch([s.rows.column("k_id"), s.rows.column("k_tx"), pa.array(out, kind)], ["k_id", "k_tx", "terms"])
+
+
+def find(docs: DataFrame, smooth: int = SMOOTH, generalise: float = GENERALISE) -> DataFrame:
     """One row per row of docs: k_id, k_tx, doc_id, n_email, n_ip, n_card, n_phone, base, terms.
 
     base is a string of kind:start:end; terms an array of (start, end, doubt) by start.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = scratch.save(keyed(docs).mapInArrow(_scan(reach), _ROWS))
-    # Rows equal in id and text bring the same contexts: once per document and row, as their words count once per row too.
-    context = rows.select("k_id", "k_tx", F.inline("context"))
-    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    pairs = scratch.save(revealing(context, counts, support, generalise))
-    # At most 2 * reach words for each base span of a document.
-    terms = context.join(pairs, ["e", "t"]).groupBy("k_id", "k_tx", "a", "b").agg(F.min("doubt").alias("doubt"))
-    terms = terms.groupBy("k_id", "k_tx").agg(F.array_sort(F.collect_list(F.struct("a", "b", "doubt"))).alias("terms"))
-    none = F.array().cast("array<struct<a: int, b: int, doubt: double>>")
-    return rows.drop("context").join(terms, ["k_id", "k_tx"], "left").withColumn("terms", F.coalesce("terms", none))
+    found = scratch.save(keyed(docs).mapInArrow(_scan, _ROWS))
+    # Rows equal in id and text are one document.
+    held = scratch.save(found.where("base <> ''").select("k_id", "k_tx", "base", "entities", "terms", "text").dropDuplicates(["k_id", "k_tx"]))
+    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequencies, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    told = revealing(held, counts, scratch, smooth, generalise)
+    # A list per document, of its own distinct words at most.
+    told = told.groupBy("k_id", "k_tx").agg(F.collect_list(F.struct("t", "doubt")).alias("told"))
+    terms = held.select("k_id", "k_tx", "base", "text").join(told, ["k_id", "k_tx"]).mapInArrow(_place, f"k_id long, k_tx long, terms {_TERMS}")
+    none = F.array().cast(_TERMS)
+    return found.drop("entities", "terms", "text").join(terms, ["k_id", "k_tx"], "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def word_class(word: str) -> str:
