@@ -35,6 +35,7 @@ scores; without any training row N = V = 0 and each token's probability is 1.
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,7 +56,7 @@ HOT_WORDS, BUCKET_TOKENS = 1_000_000, 1 << 20
 #: Bytes of text that are scored together.
 UNIT_BYTES = 8 << 20
 #: Entries that a task gathers before it hands them on.
-GATHERED = 2_000_000
+GATHERED = 3_000_000
 _U = np.uint64
 _END, _BEGIN = int(mix(np.array([101], _U))[0]), int(mix(np.array([202], _U))[0])
 
@@ -255,12 +256,19 @@ def _ngrams(tokens: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens, pairs, np.array([_BEGIN], _U)])
 
 
-_UNIT = "unit long, k_id long, k_tx long, doc_id long, text string, bucket int, keys binary"
+_UNIT = "unit long, bucket int, data binary"
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
+    return out.getvalue()
 
 
 def _units(buckets: int):
-    """Rows with the unit that they belong to, and after each unit's rows its distinct n-grams: a row (unit, bucket, keys) for each bucket."""
-    shift, names = _U(64 - (buckets.bit_length() - 1)), ["unit", "k_id", "k_tx", "doc_id", "text", "bucket", "keys"]
+    """Rows in packed slices (unit, null, slice), and after each unit's its distinct n-grams: a row (unit, bucket, keys) for each bucket."""
+    shift, names = _U(64 - (buckets.bit_length() - 1)), ["unit", "bucket", "data"]
 
     def asked(unit: int, grams: list[np.ndarray]) -> pa.RecordBatch:
         k = np.unique(np.concatenate(grams))
@@ -268,8 +276,7 @@ def _units(buckets: int):
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = pa.py_buffer(np.append(at, len(k)).astype(np.int32) * 4)
         keys = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(_inner(k, shift))])
-        none, text = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string())
-        return pa.record_batch([pa.array(np.full(len(at), unit)), none, none, none, text, pa.array(bucket[at]), keys], names)
+        return pa.record_batch([pa.array(np.full(len(at), unit)), pa.array(bucket[at]), keys], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, size, grams = 0, UNIT_BYTES, []
@@ -281,7 +288,7 @@ def _units(buckets: int):
             size += len(s.data)
             tokens, starts = token_hashes(s)
             grams.append(np.unique(_ngrams(tokens, bigram_hashes(tokens, starts)[1])))
-            yield pa.record_batch([pa.array(np.full(len(s), unit)), *(s.rows.column(c) for c in names[1:5]), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names)
+            yield pa.record_batch([pa.array([unit]), pa.nulls(1, pa.int32()), pa.array([_packed(s.rows.select(["doc_id", "text"]))], pa.binary())], names)
         if grams:
             yield asked(unit, grams)
 
@@ -290,7 +297,7 @@ def _units(buckets: int):
 
 def _answer(requests: pa.Table, blocks: pa.Table) -> pa.Table:
     """(unit, bucket, levels) for the requests of a bucket: a byte for each n-gram."""
-    keys = requests["keys"].to_pylist()
+    keys = requests["data"].to_pylist()
     size = np.array([len(k) // 4 for k in keys], np.int64)
     inner = np.frombuffer(b"".join(keys), np.uint32)
     level = np.zeros(len(inner), np.uint8)
@@ -303,7 +310,7 @@ def _answer(requests: pa.Table, blocks: pa.Table) -> pa.Table:
     return pa.table({"unit": requests["unit"], "bucket": requests["bucket"], "levels": pa.array(parts, pa.binary())})
 
 
-_SCORED = ["k_id", "k_tx", "doc_id", "n", "known", "base", "score", "rest"]
+_SCORED = ["doc_id", "n", "known", "base", "score", "rest"]
 
 
 def _score_unit(shared):
@@ -313,7 +320,7 @@ def _score_unit(shared):
         all_hot, hot_counts, n_tokens, distinct = shared.value
         total = np.float64(max(n_tokens + distinct + 1, 1))
         parts = []
-        for s in slices(iter(rows.combine_chunks().to_batches())):
+        for s in slices(x for data in rows["data"] for x in pa.ipc.open_stream(data.as_buffer())):
             tokens, starts = token_hashes(s)
             parts.append((s, tokens, starts, *bigram_hashes(tokens, starts)))
         grams = np.unique(np.concatenate([_ngrams(tokens, pairs) for _, tokens, _, _, pairs in parts]))
@@ -339,7 +346,7 @@ def _score_unit(shared):
             cold = np.concatenate([[0], np.cumsum(~hot)])[starts].astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(cold), pa.array(tokens[~hot].view(np.int64)))
             known, base = add((hot & (exact[which] > 0)).astype(np.int64)), add(np.where(hot, np.log10(exact[which] + 1.0), 0.0))
-            out.append(pa.record_batch([*(s.rows.column(c) for c in _SCORED[:3]), pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(add(np.log10(np.minimum(p, 1.0)))), rest], _SCORED))
+            out.append(pa.record_batch([s.rows.column("doc_id"), pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(add(np.log10(np.minimum(p, 1.0)))), rest], _SCORED))
         return pa.Table.from_batches(out)
 
     return run
@@ -370,18 +377,18 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
 def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
     both = scratch.save(keyed(docs).mapInArrow(_units(model.filter.buckets), _UNIT))  # written, as the units' names are random
-    units, requests = both.where("bucket is null").select("unit", "k_id", "k_tx", "doc_id", "text"), both.where("bucket is not null").select("unit", "bucket", "keys")
+    units, requests = both.where("bucket is null").select("unit", "data"), both.where("bucket is not null")
     answers = requests.groupBy("bucket").cogroup(model.filter.table.groupBy("bucket")).applyInArrow(_answer, "unit long, bucket int, levels binary")
     shared = docs.sparkSession.sparkContext.broadcast((model.hot, model.hot_counts, model.tokens, model.distinct))
-    rows = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_unit(shared), "k_id long, k_tx long, doc_id long, n long, known long, base double, score double, rest array<long>")
-    rows = scratch.save(rows)
+    rows = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_unit(shared), "doc_id long, n long, known long, base double, score double, rest array<long>")
+    # A row's number, short beside its id and text; saved, so that it stays.
+    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()
     scratch.drop(both)
-    rest = rows.where(F.size("rest") > 0).groupBy("k_id", "k_tx").agg(F.first("rest").alias("rest"))
-    rest = rest.select("k_id", "k_tx", F.explode("rest").alias("h")).join(counts, "h")
-    tail = rest.groupBy("k_id", "k_tx").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
+    rest = rows.select("row", F.explode("rest").alias("h")).join(counts, "h")
+    tail = rest.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
     per_token = float(np.log10(max(model.tokens + model.distinct + 1, 1)))
-    return rows.drop("rest").join(tail, ["k_id", "k_tx"], "left").select(
+    return rows.drop("rest").join(tail, "row", "left").select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
