@@ -141,32 +141,37 @@ def test_terms_are_those_that_reveal_an_entity(spark):
     common = "the of and to in is was for on with as by at from that this it are be or " * 3
     rows = [(k, f"{common} please write to agent zorblat quixley at zq@mail.example.com about {common}") for k in range(4)]
     rows += [(10 + k, f"{common} please write to about at") for k in range(30)]
+    rows += [(50, f"{common} once hapax +1 (017) 555-7713 {common}")]
     got = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
-    text = rows[0][1]
-    words = {text[t["a"] : t["b"]] for t in got[0].terms}
-    assert {"zorblat", "quixley", "agent"} <= words and not words & {"the", "of", "to", "at", "please"}
+    words = lambda i, text: {text[t["a"] : t["b"]] for t in got[i].terms}
+    assert words(0, rows[0][1]) == {"zorblat", "quixley", "agent"}
+    assert words(50, rows[-1][1]) == {"once", "hapax"}
     assert got[0].n_email == 1 and all(not got[k].terms for k in range(10, 40))
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
     assert "[EMAIL]" in clean[0] and "zorblat" not in clean[0] and clean[12] == rows[6][1]
 
 
 def test_terms_match_brute_force_counts(spark):
+    """Over whole documents, with entities of one, some and many documents, and many values that occur together."""
     rng = random.Random(6)
-    names = [f"n{k}" for k in range(60)]
-    rows = [(k, " ".join(rng.choice(names) for _ in range(30)) + (f" u{k % 7}@ex.org " if k % 2 else " ") + " ".join(rng.choice(names) for _ in range(30))) for k in range(60)]
-    total, joint, places = Counter(), Counter(), {}
-    for k, t in rows:
-        found = [(m[0], *m.span()) for m in WORDS.finditer(t)]
-        total.update(w for w, _, _ in found)
-        at = next((n for n, (w, _, _) in enumerate(found) if "@" in w), None)
-        if at is not None:
-            near = [*range(max(0, at - pii.CONTEXT), at), *range(at + 1, min(len(found), at + 1 + pii.CONTEXT))]
-            joint.update((found[at][0], found[n][0]) for n in near)
-            places[k] = (found[at][0], [found[n] for n in near])
-    for generalise in (0.5, 3.0, 6.0):
-        want = {k: [(a, b) for w, a, b in near if joint[e, w] >= pii.SUPPORT and math.log2(total[w] / joint[e, w]) <= generalise] for k, (e, near) in places.items()}
-        got = {r.doc_id: [(t["a"], t["b"]) for t in r.terms] for r in pii.find(frame(spark, rows), generalise=generalise).collect()}
-        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    names = [f"n{k}" for k in range(60)] + [f"r{k}" for k in range(400)]
+    book = " ".join(f"b{k}@ex.org" for k in range(9))
+    prose = lambda n: " ".join(rng.choice(names) for _ in range(n))
+    mark = lambda k: f"u{k % 7}@ex.org" if k % 2 else f"s{k}@ex.org" if k % 6 == 0 else book if k % 8 == 2 else "all@ex.org" if k % 8 == 4 else ""
+    rows = [(k, f"{prose(30)} {mark(k)} {prose(30)}") for k in range(60)]
+    docs = [{m[0] for m in WORDS.finditer(t)} for _, t in rows]
+    for generalise in (1.0, 2.0, 4.0):
+        want = {}
+        for k, t in rows:
+            least = {}
+            for e in (w for w in docs[k] if "@" in w):
+                for w in docs[k]:
+                    if "@" not in w:
+                        n, c = sum(e in x and w in x for x in docs), sum(w in x for x in docs)
+                        least[w] = min(least.get(w, 99.0), math.log2((c + pii.SMOOTH) / n))
+            want[k] = [(m.start(), m.end(), round(least[m[0]], 9)) for m in WORDS.finditer(t) if least.get(m[0], 99.0) <= generalise]
+        got = {r.doc_id: [(t["a"], t["b"], round(t["doubt"], 9)) for t in r.terms] for r in pii.find(frame(spark, rows), generalise=generalise).collect()}
+        assert got == want and any(want.values())
 
 
 def test_pii_of_odd_rows(spark):
