@@ -16,8 +16,8 @@ with all c from the filter and m = 0 for a history it doesn't hold.
    of the corpus, becomes one block of the filter, of BITS bits per inserted level. Every
    n-gram is inserted, those seen once too. Blocks are a table in the shared folder that
    grows with the corpus; no process holds them all.
-3. One scan groups rows into units of about UNIT_BYTES of text, and lists each unit's
-   distinct n-grams by bucket. Requests meet their block in a join on the bucket, which
+3. One scan packs rows into units of about UNIT_BYTES of text, a row each, and a scan over
+   these lists each unit's distinct n-grams by bucket. Requests meet their block in a join on the bucket, which
    answers with one byte, the level, for each n-gram; answers meet their unit's rows in a
    join on the unit, which scores them. It also gets the exact counts of the most frequent
    words (HOT_WORDS at most). Base scores are exact: words outside the hot table are
@@ -56,7 +56,7 @@ HOT_WORDS, BUCKET_TOKENS = 1_000_000, 1 << 20
 #: Bytes of text that are scored together.
 UNIT_BYTES = 8 << 20
 #: Entries that a task gathers before it hands them on.
-GATHERED = 3_000_000
+GATHERED = 2_000_000
 _U = np.uint64
 _END, _BEGIN = int(mix(np.array([101], _U))[0]), int(mix(np.array([202], _U))[0])
 
@@ -256,48 +256,55 @@ def _ngrams(tokens: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens, pairs, np.array([_BEGIN], _U)])
 
 
-_UNIT = "unit long, bucket int, data binary"
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, data): rows of about UNIT_BYTES of text, packed as a compressed Arrow stream of slices."""
+    held, size = [], 0
 
+    def packed() -> pa.RecordBatch:
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for rows in held:
+                w.write_batch(rows)
+        return pa.record_batch([pa.array([int.from_bytes(os.urandom(8), "little", signed=True)]), pa.array([out.getvalue()], pa.binary())], ["unit", "data"])
+
+    for s in slices(batches):
+        held.append(s.rows.select(["doc_id", "text"]))
+        size += len(s.data)
+        if size >= UNIT_BYTES:
+            yield packed()
+            held, size = [], 0
+    if held:
+        yield packed()
 
-def _packed(rows: pa.RecordBatch) -> bytes:
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(rows)
-    return out.getvalue()
 
+def _slices_of(data: pa.Scalar) -> Iterator[Slice]:
+    return slices(iter(pa.ipc.open_stream(data.as_buffer())))
 
-def _units(buckets: int):
-    """Rows in packed slices (unit, null, slice), and after each unit's its distinct n-grams: a row (unit, bucket, keys) for each bucket."""
-    shift, names = _U(64 - (buckets.bit_length() - 1)), ["unit", "bucket", "data"]
 
-    def asked(unit: int, grams: list[np.ndarray]) -> pa.RecordBatch:
-        k = np.unique(np.concatenate(grams))
-        bucket = (k >> shift).astype(np.int32)
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = pa.py_buffer(np.append(at, len(k)).astype(np.int32) * 4)
-        keys = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(_inner(k, shift))])
-        return pa.record_batch([pa.array(np.full(len(at), unit)), pa.array(bucket[at]), keys], names)
+def _requests(buckets: int):
+    """Each unit's distinct n-grams: a row (unit, bucket, keys) for each bucket."""
+    shift = _U(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, size, grams = 0, UNIT_BYTES, []
-        for s in slices(batches):
-            if size >= UNIT_BYTES:
-                if grams:
-                    yield asked(unit, grams)
-                unit, size, grams = int.from_bytes(os.urandom(8), "little", signed=True), 0, []
-            size += len(s.data)
-            tokens, starts = token_hashes(s)
-            grams.append(np.unique(_ngrams(tokens, bigram_hashes(tokens, starts)[1])))
-            yield pa.record_batch([pa.array([unit]), pa.nulls(1, pa.int32()), pa.array([_packed(s.rows.select(["doc_id", "text"]))], pa.binary())], names)
-        if grams:
-            yield asked(unit, grams)
+        for batch in batches:
+            for unit, data in zip(batch.column("unit").to_pylist(), batch.column("data"), strict=True):
+                grams = []
+                for s in _slices_of(data):
+                    tokens, starts = token_hashes(s)
+                    grams.append(np.unique(_ngrams(tokens, bigram_hashes(tokens, starts)[1])))
+                k = np.unique(np.concatenate(grams))
+                bucket = (k >> shift).astype(np.int32)
+                at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                ends = pa.py_buffer(np.append(at, len(k)).astype(np.int32) * 4)
+                keys = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(_inner(k, shift))])
+                yield pa.record_batch([pa.array(np.full(len(at), unit)), pa.array(bucket[at]), keys], ["unit", "bucket", "keys"])
 
     return run
 
 
 def _answer(requests: pa.Table, blocks: pa.Table) -> pa.Table:
     """(unit, bucket, levels) for the requests of a bucket: a byte for each n-gram."""
-    keys = requests["data"].to_pylist()
+    keys = requests["keys"].to_pylist()
     size = np.array([len(k) // 4 for k in keys], np.int64)
     inner = np.frombuffer(b"".join(keys), np.uint32)
     level = np.zeros(len(inner), np.uint8)
@@ -320,7 +327,7 @@ def _score_unit(shared):
         all_hot, hot_counts, n_tokens, distinct = shared.value
         total = np.float64(max(n_tokens + distinct + 1, 1))
         parts = []
-        for s in slices(x for data in rows["data"] for x in pa.ipc.open_stream(data.as_buffer())):
+        for s in (x for data in rows["data"] for x in _slices_of(data)):
             tokens, starts = token_hashes(s)
             parts.append((s, tokens, starts, *bigram_hashes(tokens, starts)))
         grams = np.unique(np.concatenate([_ngrams(tokens, pairs) for _, tokens, _, _, pairs in parts]))
@@ -376,15 +383,15 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    both = scratch.save(keyed(docs).mapInArrow(_units(model.filter.buckets), _UNIT))  # written, as the units' names are random
-    units, requests = both.where("bucket is null").select("unit", "data"), both.where("bucket is not null")
+    units = scratch.save(keyed(docs).mapInArrow(_units, "unit long, data binary"))  # written, as the units' names are random
+    requests = units.mapInArrow(_requests(model.filter.buckets), "unit long, bucket int, keys binary")
     answers = requests.groupBy("bucket").cogroup(model.filter.table.groupBy("bucket")).applyInArrow(_answer, "unit long, bucket int, levels binary")
     shared = docs.sparkSession.sparkContext.broadcast((model.hot, model.hot_counts, model.tokens, model.distinct))
     rows = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_unit(shared), "doc_id long, n long, known long, base double, score double, rest array<long>")
     # A row's number, short beside its id and text; saved, so that it stays.
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()
-    scratch.drop(both)
+    scratch.drop(units)
     rest = rows.select("row", F.explode("rest").alias("h")).join(counts, "h")
     tail = rest.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
     per_token = float(np.log10(max(model.tokens + model.distinct + 1, 1)))
