@@ -26,6 +26,6 @@ def derive(df: DataFrame, fen: Column | None = None) -> DataFrame:
         out["t2_legal_attempted"] = X.legal_attempted(c("t2_move"), c("t2_legal"))
     if {"t3_explanation", "theme"} <= have:
         out["t3_p2_theme_v2"] = X.names_theme(c("t3_explanation"), c("theme"))
-        if "t3_p1_side_correct" in have:
-            out["t3_score_v2"] = c("t3_p1_side_correct") + X.names_theme(c("t3_explanation"), c("theme"))
-    return df.withColumns(out)
+    df = df.withColumns(out)
+    # From the column, so that phrases are looked for once per row.
+    return df.withColumn("t3_score_v2", c("t3_p1_side_correct") + c("t3_p2_theme_v2")) if "t3_p2_theme_v2" in out and "t3_p1_side_correct" in have else df

@@ -15,15 +15,16 @@ from ..functions import exprs as X
 from ..functions.board import START, Board
 
 _OUT = "row long, kind string, fen string, moves int, theme string, attempts int"
-#: The pieces of each endgame beside the kings, White's first.
-ENDGAMES = {"KQvK": ("Q", ""), "KRvK": ("R", ""), "KPvK": ("P", ""), "KRvKR": ("R", "r"), "KRPvKR": ("RP", "r"), "KBNvK": ("BN", ""), "KPPvKP": ("PP", "p")}
-#: Positions from which themed games begin.
+#: The pieces of each endgame beside the kings, White's first; and those that a mixed set draws from.
+ENDGAMES = {"KQvK": ("Q", ""), "KRvK": ("R", ""), "KBBvK": ("BB", ""), "KBNvK": ("BN", ""), "KPvK": ("P", ""), "KRvKR": ("R", "r"), "KPvKP": ("P", "p")}
+MIXED_ENDGAMES = ("KQvK", "KRvK", "KPvK", "KRvKR", "KPvKP")
+#: Positions from which themed games begin.
 THEME_STARTS = {
-    "fork": "r1bqkb1r/pppp1ppp/2n2n2/4p3/2B1P3/5N2/PPPP1PPP/RNBQK2R w KQkq - 4 4",
-    "pin": "r1bqk1nr/pppp1ppp/2n5/1B2p3/1b2P3/2N2N2/PPPP1PPP/R1BQK2R w KQkq - 4 4",
-    "back_rank": "6k1/5ppp/8/8/8/8/5PPP/3R2K1 w - - 0 1",
-    "passed_pawn": "8/5k2/8/3P4/8/5K2/8/8 w - - 0 1",
-    "skewer": "4k3/8/8/8/8/8/4R3/4K2q w - - 0 1",
+    "fork": ["r1bqkb1r/pppp1ppp/2n2n2/4p2Q/2B1P3/8/PPPP1PPP/RNB1K1NR w KQkq - 4 4", "r1bqkbnr/pppp1ppp/2n5/4p3/2B1P3/5N2/PPPP1PPP/RNBQK2R w KQkq - 4 4"],
+    "pin": ["r1bqkbnr/pppp1ppp/2n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R b KQkq - 3 3", "rnbqk1nr/pppp1ppp/4p3/8/1bPP4/2N5/PP2PPPP/R1BQKBNR w KQkq - 2 4"],
+    "skewer": ["8/8/8/3k4/8/3B4/3K4/8 w - - 0 1"],
+    "passed_pawn": ["8/5P2/8/8/8/8/8/4K2k w - - 0 1", "8/8/8/8/8/5p2/8/4K2k b - - 0 1"],
+    "discovery": ["r1bqkbnr/pppp1ppp/2n5/4p3/2B1P3/5N2/PPPP1PPP/RNBQK2R w KQkq - 4 4"],
 }
 
 
@@ -38,8 +39,16 @@ def random_play(rng: random.Random, board: Board, low: int, high: int) -> tuple[
     return board, n
 
 
-def _endgame(rng: random.Random, kind: str) -> Board:
-    white, black = ENDGAMES[kind]
+def themed(rng: random.Random, theme: str) -> tuple[Board, int]:
+    """Up to three random moves from one of the theme's positions; an unknown theme is a random game."""
+    if theme not in THEME_STARTS:
+        return random_play(rng, Board.of(START), 10, 60)
+    return random_play(rng, Board.of(rng.choice(THEME_STARTS[theme])), 0, 3)
+
+
+def endgame(rng: random.Random, kind: str) -> Board:
+    """The pieces of an endgame on random squares, pawns on none of the outer ranks; an unknown kind is any."""
+    white, black = ENDGAMES[kind if kind in ENDGAMES else rng.choice(list(ENDGAMES))]
     cells = ["."] * 64
     for piece in "Kk" + white + black:
         free = [s for s in range(64) if cells[s] == "." and (piece not in "Pp" or 8 <= s < 56)]
@@ -47,8 +56,8 @@ def _endgame(rng: random.Random, kind: str) -> Board:
     return Board("".join(cells), rng.random() < 0.5)
 
 
-def make_position(row: int, seed: int, tries: int = 50) -> tuple:
-    """A valid position: by rows in turn from random play, from a theme's position, and an endgame."""
+def make_position(row: int, seed: int, tries: int = 30, themes: tuple[str, ...] = tuple(THEME_STARTS)) -> tuple:
+    """A valid position: by rows in turn from random play, from a theme's position, and an endgame. ``tries`` is ten for each position of a set, as a kind has a third of them."""
     rng = random.Random(f"{seed}:{row}")
     kind = ("random", "themed", "endgame")[row % 3]
     theme = None
@@ -56,11 +65,11 @@ def make_position(row: int, seed: int, tries: int = 50) -> tuple:
         if kind == "random":
             board, moves = random_play(rng, Board.of(START), 10, 60)
         elif kind == "themed":
-            theme = rng.choice(sorted(THEME_STARTS))
-            board, moves = random_play(rng, Board.of(THEME_STARTS[theme]), 0, 3)
+            theme = rng.choice(themes)
+            board, moves = themed(rng, theme)
         else:
-            theme = rng.choice(sorted(ENDGAMES))
-            board, moves = _endgame(rng, theme), 0
+            config = rng.choice(MIXED_ENDGAMES)
+            theme, board, moves = f"endgame_{config}", endgame(rng, config), 0
         if board.valid():
             return row, kind, board.fen(), moves, theme, attempt
     return row, kind, None, 0, theme, tries

@@ -100,27 +100,57 @@ def correction_pairs(results: DataFrame, follow_up: Column) -> DataFrame:
     return results.select(F.inline(F.array(made("correction", "control"), made("control", "correction"))))
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Column, tie: str, parts: int = 256) -> DataFrame:
+    """Adds ``place``, a row's number from 0 among those of its keys in the order of a hash in hexadecimal, and ``many``, how many there are.
+
+    Rows are numbered inside each leading byte of the hash, after those of smaller bytes,
+    so that no key is sorted in one task.
+    """
+    spread = rows.withColumns({"_h": order, "_b": F.conv(F.substring(order, 1, 2), 16, 10).cast("int") * parts / 256}).withColumn("_b", F.col("_b").cast("int"))
+    within = spread.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", tie)) - 1)
+    sizes = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # ``parts`` rows of a key at most
+    sizes = sizes.select(*keys, "_b", (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("many"))
+    return within.join(sizes, [*keys, "_b"]).withColumn("place", F.col("_before") + F.col("_k")).drop("_h", "_b", "_k", "_before")
+
+
 def similar_position(rows: DataFrame, positions: DataFrame, exclude: DataFrame) -> DataFrame:
     """For each row of (job_id, position_id, theme, difficulty) a position of the same theme and difficulty, else of the same difficulty.
 
-    The choice is the one with the least hash of job and position. Positions are first cut
-    to the PER_KEY least by a hash of their own per key, so that a join of rows and
-    candidates stays in proportion to the rows.
+    Positions are numbered by key; the job's hash modulo their number says which one it is,
+    or the next if that is the job's own. Every position may be chosen, by an equi-join.
     """
-    free = positions.join(exclude.select("position_id").distinct(), "position_id", "left_anti")
-    hashed = free.withColumn("_h", F.sha2(F.col("position_id").cast("string"), 256))
-    out = None
+    free = positions.join(exclude.select("position_id").distinct(), "position_id", "left_anti").select("position_id", "theme", "difficulty")
+    out, number = None, F.conv(F.substring(F.sha2("job_id", 256), 1, 8), 16, 10).cast("long")
     for level, keys in enumerate((["theme", "difficulty"], ["difficulty"])):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "position_id"))
-        pool = hashed.withColumn("_k", rank).where(F.col("_k") <= PER_KEY).select(*keys, F.col("position_id").alias("follow_up"), "_h")
-        found = rows.join(pool, keys).where("follow_up <> position_id").select("job_id", "follow_up", F.lit(level).alias("_level"))
+        pool = numbered(free, keys, F.sha2(F.col("position_id").cast("string"), 256), "position_id")
+        sizes = pool.groupBy(*keys).agg(F.first("many").alias("many"))
+        asked = rows.join(small(sizes), keys).select("job_id", "position_id", *keys, F.posexplode(F.array((number % F.col("many")), (number + 1) % F.col("many"))).alias("_later", "place"))
+        found = asked.join(pool.select(*keys, "place", F.col("position_id").alias("follow_up")), [*keys, "place"]).where("follow_up <> position_id")
+        found = found.select("job_id", F.struct(F.lit(level).alias("level"), "_later", "follow_up").alias("pick"))
         out = found if out is None else out.unionByName(found)
-    pick = F.min(F.struct("_level", F.sha2(F.concat("job_id", F.lit(":"), F.col("follow_up").cast("string")), 256).alias("h"), "follow_up"))
-    chosen = out.groupBy("job_id").agg(pick.alias("p")).select("job_id", F.col("p.follow_up").alias("follow_up"), (F.col("p._level") == 1).alias("fell_back"))
+    chosen = out.groupBy("job_id").agg(F.min("pick").alias("p")).select("job_id", F.col("p.follow_up").alias("follow_up"), (F.col("p.level") == 1).alias("fell_back"))
     return rows.select("job_id", "position_id").join(chosen, "job_id", "left")
 
 
-PER_KEY = 16
+def assign_follow_ups(triggers: DataFrame, positions: DataFrame, used: DataFrame) -> DataFrame:
+    """(job_id, follow_up): for each row of (job_id, position_id, theme, difficulty) a position of its theme and difficulty that no other row gets and that is not used yet, else one of its difficulty that is left; none if none is left.
+
+    The k-th row of a key, in the order of the hash of its job, gets the k-th free position:
+    the state that a loop over jobs would keep is the number itself. A row's own position is
+    free for others only.
+    """
+    own = triggers.select("position_id").union(used.select("position_id")).distinct()
+    free = positions.join(own, "position_id", "left_anti").select("position_id", "theme", "difficulty")
+    left, done = triggers.select("job_id", "theme", "difficulty"), None
+    for keys in (["theme", "difficulty"], ["difficulty"]):
+        asks = numbered(left, keys, F.sha2("job_id", 256), "job_id").drop("many")
+        pool = numbered(free, keys, F.sha2(F.col("position_id").cast("string"), 256), "position_id").select(*keys, "place", F.col("position_id").alias("follow_up"))
+        found = asks.join(pool, [*keys, "place"]).select("job_id", "follow_up")
+        done = found if done is None else done.unionByName(found)
+        left = left.join(found, "job_id", "left_anti")
+        free = free.join(found.select(F.col("follow_up").alias("position_id")), "position_id", "left_anti")
+    return triggers.select("job_id").join(done, "job_id", "left")
 
 
 def retry_candidates(results: DataFrame, retried: DataFrame, formats: Sequence[str] = ("fen_only", "pgn+fen", "cot", "move_only")) -> DataFrame:

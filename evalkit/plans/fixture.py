@@ -1,7 +1,7 @@
 """The evaluation facts that the catalog's queries run on, derived from the driver's tables.
 
 The tables hold no evaluation data, so every column is integer arithmetic on ``events``
-(and a phrase from ``documents``), in SQL that Spark and DuckDB read alike. All attributes
+(and the text of the document with the event's number), in SQL that Spark and DuckDB read alike. All attributes
 of a position depend on position_id alone.
 """
 
@@ -73,7 +73,7 @@ FROM (
     {pick(("White", "Black", "Equal"), "event_id % 3")} AS t3_side, CAST(round(value * 100) AS BIGINT) AS inference_ms, ts
   FROM (
     SELECT e.event_id, e.event_id % 997 AS p, e.user_id % 22 AS m, {pick(PROMPT_FORMATS, "e.event_id % 6")} AS fmt, e.value, e.ts, coalesce(d.word, '') AS word
-    FROM events e LEFT JOIN (SELECT doc_id, substring(text, 1, 60) AS word FROM documents WHERE doc_id < 200) d ON e.event_id % 200 = d.doc_id
+    FROM events e LEFT JOIN (SELECT doc_id, text AS word FROM documents) d ON e.event_id = d.doc_id
   ) base
 ) made
 """
@@ -90,7 +90,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = EVALS.replace("FROM events e", "FROM {events} e").replace("FROM documents WHERE", "FROM {documents} WHERE")
+    sql = EVALS.replace("FROM events e", "FROM {events} e").replace("FROM documents)", "FROM {documents})")
     return spark.sql(sql, events=table(spark, sf_dir, "events"), documents=table(spark, sf_dir, "documents"))
 
 

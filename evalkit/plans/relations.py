@@ -27,13 +27,13 @@ _CLAIMED = f"{WITH}, jobs AS (SELECT event_id, job_id, model, status, CASE WHEN
 
 
 def _matrix(s, d):
-    return joins.job_matrix(_pos(s, d).where("position_id < 200"), _TINY_MODELS, _FORMATS)
+    return joins.job_matrix(_pos(s, d), _TINY_MODELS, _FORMATS)
 
 
 _MATRIX = (
     f"{_POS}, m(model) AS (VALUES " + ", ".join(f"('{m}')" for m in _TINY_MODELS) + "), f(prompt_format) AS (VALUES " + ", ".join(f"('{m}')" for m in _FORMATS) + "), "
     "matrix AS (SELECT position_id, model, prompt_format, 'job_' || lpad(position_id::VARCHAR, 5, '0') || '_' || translate(model, ':.', '__') || '_' || prompt_format || '_1' AS job_id, "
-    "sha256(position_id::VARCHAR || model || prompt_format || '1') AS hash, 'pending' AS status FROM pos, m, f WHERE position_id < 200)"
+    "sha256(position_id::VARCHAR || model || prompt_format || '1') AS hash, 'pending' AS status FROM pos, m, f)"
 )
 
 
@@ -63,11 +63,12 @@ def _retried(s, d):
 
 
 _SIMILAR = f"""{_POS}, free AS (SELECT * FROM pos WHERE position_id % 5 <> 0), r AS (SELECT job_id, position_id, theme, difficulty FROM evals WHERE job_type = 'correction'),
-h AS (SELECT *, sha256(position_id::VARCHAR) AS h, row_number() OVER (PARTITION BY theme, difficulty ORDER BY sha256(position_id::VARCHAR), position_id) AS k1,
-  row_number() OVER (PARTITION BY difficulty ORDER BY sha256(position_id::VARCHAR), position_id) AS k2 FROM free),
-c AS (SELECT r.job_id, 0 AS lv, h.position_id AS f FROM r JOIN h USING (theme, difficulty) WHERE k1 <= 16 AND h.position_id <> r.position_id
-  UNION ALL SELECT r.job_id, 1, h.position_id FROM r JOIN h USING (difficulty) WHERE k2 <= 16 AND h.position_id <> r.position_id),
-b AS (SELECT job_id, lv, f, row_number() OVER (PARTITION BY job_id ORDER BY lv, sha256(job_id || ':' || f), f) AS k FROM c)
+j AS (SELECT *, ('0x' || substr(sha256(job_id), 1, 8))::BIGINT AS x FROM r),
+h AS (SELECT *, row_number() OVER t - 1 AS k1, count(*) OVER (PARTITION BY theme, difficulty) AS n1, row_number() OVER w - 1 AS k2, count(*) OVER (PARTITION BY difficulty) AS n2 FROM (SELECT *, sha256(position_id::VARCHAR) AS h FROM free)
+  WINDOW t AS (PARTITION BY theme, difficulty ORDER BY h, position_id), w AS (PARTITION BY difficulty ORDER BY h, position_id)),
+c AS (SELECT job_id, 0 AS lv, k1 <> x % n1 AS later, h.position_id AS f FROM j JOIN h USING (theme, difficulty) WHERE k1 IN (x % n1, (x + 1) % n1) AND h.position_id <> j.position_id
+  UNION ALL SELECT job_id, 1, k2 <> x % n2, h.position_id FROM j JOIN h USING (difficulty) WHERE k2 IN (x % n2, (x + 1) % n2) AND h.position_id <> j.position_id),
+b AS (SELECT job_id, lv, f, row_number() OVER (PARTITION BY job_id ORDER BY lv, later) AS k FROM c)
 SELECT r.job_id, r.position_id, b.f AS follow_up, b.lv = 1 AS fell_back FROM r LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (job_id)"""
 
 

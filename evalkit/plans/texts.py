@@ -13,19 +13,19 @@ from ..streaming import streams
 from .fixture import MODELS, POSITIONS, WITH, evals, positions, table
 from .metrics import _META, model_meta
 
-_ROWS = "SELECT event_id, user_id, value, ts, event_type FROM events WHERE event_id < 2000"
+_ROWS = "SELECT event_id, user_id, value, ts, event_type FROM events"
 _P = "pos AS (" + POSITIONS + ")"
 
 
 def _events(s, d):
-    return table(s, d, "events").where("event_id < 2000")
+    return table(s, d, "events")
 
 
 def _words(s, d):
-    return table(s, d, "documents").where("doc_id < 200").select("doc_id", F.substring("text", 1, 200).alias("text"))
+    return table(s, d, "documents").select("doc_id", "text")
 
 
-_WORDS = "(SELECT doc_id, substring(text, 1, 200) AS text FROM documents WHERE doc_id < 200)"
+_WORDS = "(SELECT doc_id, text FROM documents)"
 
 
 def _stream(s, d):
@@ -59,7 +59,7 @@ def _parse(s, d):
 
 
 def _parse_labelled(s, d):
-    return _parse(s, d).where("conv_id % 4 < 2").select("conv_id", "turn", "eval", "move", "side_claimed", "n_errors")
+    return _parse(s, d).select("conv_id", "turn", "eval", "move", "side_claimed", "n_errors")
 
 
 def _boards(s, d):
@@ -158,7 +158,8 @@ QUERIES = {
     "parse_response": (_parse, None),
     "parse_labelled": (
         _parse_labelled,
-        "SELECT conv_id, turn, (conv_id * 7 + turn * 13) % 900 - 450 AS eval, CASE conv_id % 4 WHEN 0 THEN 'Nf3' ELSE 'e4' END AS move, CASE conv_id % 4 WHEN 0 THEN 'White' ELSE 'Black' END AS side_claimed, 0 AS n_errors FROM conversations WHERE conv_id % 4 < 2",
+        """SELECT conv_id, turn, CASE WHEN conv_id % 4 < 3 THEN (conv_id * 7 + turn * 13) % 900 - 450 END AS eval, CASE conv_id % 4 WHEN 0 THEN 'Nf3' WHEN 1 THEN 'e4' WHEN 2 THEN 'Qxd5' ELSE 'O-O' END AS move,
+        CASE conv_id % 4 WHEN 0 THEN 'White' WHEN 1 THEN 'Black' WHEN 2 THEN 'Equal' END AS side_claimed, CASE WHEN conv_id % 4 < 3 THEN 0 ELSE 2 END AS n_errors FROM conversations""",
     ),
     "parse_eval_only": (
         lambda s, d: _answers(s, d).select("conv_id", "turn", parser.parse(F.concat(F.lit("I say "), F.col("n").cast("string")), F.lit("eval_only"))["eval"].alias("eval")),
@@ -167,7 +168,7 @@ QUERIES = {
     "parse_explanation": (lambda s, d: _answers(s, d).select("conv_id", "turn", parser.parse(F.col("answer"), F.lit("explanation_only")).alias("p")).select("conv_id", "turn", "p.eval", "p.explanation", "p.side_claimed"), None),
     "prompts": (lambda s, d: positions(evals(s, d)).select("position_id", F.explode(F.array(*map(F.lit, ("fen_only", "pgn+fen", "cot", "eval_only", "explanation_only", "move_only")))).alias("fmt"), "fen").select("position_id", "fmt", prompts.build(F.col("fen"), F.lit("1. e4 e5"), F.col("fmt"), board_udfs.legal_moves("fen")).alias("prompt")), None),
     "follow_up_prompts": (
-        lambda s, d: evals(s, d).where("event_id < 300 and t2_move is not null").select(
+        lambda s, d: evals(s, d).where("t2_move is not null").select(
             "event_id",
             F.md5(prompts.retry(F.col("fen"), F.when(F.col("event_id") % 3 > 0, F.col("t2_move")), F.array(F.lit("e4"), F.lit("d4")))).alias("retry"),
             F.md5(prompts.correction(F.col("fen"), F.col("t2_move"), F.col("t2_best_move"), F.lit("F2"), F.lit(""), F.lit("fen_only"))).alias("correction"),
@@ -175,7 +176,7 @@ QUERIES = {
         f"""{WITH} SELECT event_id, md5(CASE WHEN event_id % 3 > 0 THEN 'Your previous move "' || t2_move || '" is not legal in this position.' ELSE '{prompts.NO_MOVE}' END
         || replace(replace('{prompts.RETRY}', '{{fen}}', fen), '{{legal}}', 'e4, d4')) AS retry,
         md5(replace(replace(replace('{prompts.FEEDBACK}', '{{fen}}', fen), '{{move}}', t2_move), '{{best}}', t2_best_move) || '{(prompts.INTRO + prompts.FEN.replace("{fen}", "F2") + prompts.QUESTIONS + prompts.FORMAT).replace("'", "''")}') AS correction
-        FROM evals WHERE event_id < 300 AND t2_move IS NOT NULL""",
+        FROM evals WHERE t2_move IS NOT NULL""",
     ),
     "legal_moves": (lambda s, d: _boards(s, d).select("position_id", F.size(board_udfs.legal_moves("fen")).alias("n"), F.array_sort(board_udfs.legal_moves("fen")).alias("moves")), None),
     "move_legality": (lambda s, d: _boards(s, d).select("position_id", board_udfs.is_legal("fen", F.lit("Nc3")).alias("legal"), board_udfs.fen_after("fen", F.lit("Nc3")).alias("after")), None),

@@ -53,13 +53,16 @@ def keyed_positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, *paths: str, schema: T.StructType = RESULT, key: str = "job_id") -> DataFrame:
-    """Rows of several logs, the last one per key: later files win, then later timestamps."""
+    """Rows of several logs, the last one per key: later files win, and inside a file later lines."""
     out = None
     for k, path in enumerate(paths):
-        part = json_lines(spark, path, schema).withColumn("_file", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    order = [F.col("_file").desc()] + ([F.col("timestamp").desc_nulls_last()] if "timestamp" in schema.names else [])
-    return first_by(out, [key], *order).drop("_file")
+        part = json_lines(spark, path, schema)
+        if part.inputFiles():
+            # A line's place: its file, the split's offset in it, and the row's number in the scan of the split.
+            place = F.struct(F.lit(k), F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+            part = part.select("*", place.alias("_line"))
+            out = part if out is None else out.unionByName(part)
+    return first_by(out, [key], F.col("_line").desc()).drop("_line") if out is not None else spark.createDataFrame([], schema)
 
 
 def completed_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -21,13 +21,28 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back what a replace() that was cut short left aside."""
+    fs, target = _fs(spark, path)
+    old = _fs(spark, f"{path}.old")[1]
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Puts df in place of what path holds, which df may read: it is written beside, then renamed."""
+    """Puts df in place of what path holds, which df may read: it is written beside, the old table is renamed aside, the new one renamed in, the old one deleted. At each moment one of them is whole; recover() or the next call mends a cut."""
     spark, beside = df.sparkSession, f"{path}.new"
+    recover(spark, path)
     df.write.mode("overwrite").json(beside)
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
+    old = _fs(spark, f"{path}.old")[1]
+    if fs.exists(target):
+        fs.rename(target, old)
     fs.rename(_fs(spark, beside)[1], target)
+    fs.delete(old, True)
 
 
 def tiers(positions: DataFrame, path: str) -> None:
