@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import direction_correct
+from ..functions.exprs import direction_correct, score_t1, score_t3
 from ..schemas import DIFFICULTIES, STATUSES
 
 def mean(col: str) -> Column:
@@ -137,6 +137,16 @@ def completion(df: DataFrame, models: DataFrame, target: int, enough: int) -> Da
     return out.select("model", "difficulty", "tier_order", "n", (F.col("n") >= enough).alias("complete"), F.bround(F.col("n") * 100.0 / target, 1).alias("percent"))
 
 
+def first_incomplete(df: DataFrame, models: DataFrame, target: int, enough: int) -> DataFrame:
+    """For each model the first tier, in their order, that is not complete; models that are done have none."""
+    return completion(df, models, target, enough).where("not complete").groupBy("model").agg(F.min_by("difficulty", "tier_order").alias("difficulty"))
+
+
+def ranked(df: DataFrame, col: str) -> DataFrame:
+    """Rows that have a value, largest first."""
+    return df.where(F.col(col).isNotNull()).orderBy(F.col(col).desc())
+
+
 def family_profile(df: DataFrame, meta: DataFrame) -> DataFrame:
     """Mean and deviation, per family and tier, of the models' means."""
     one = grouped(df, ["model", "difficulty"], cpl="mean:t2_cpl")
@@ -164,6 +174,29 @@ def validation_report(df: DataFrame) -> DataFrame:
     )
 
 
+def validation_issues(df: DataFrame, legal: Column | None = None) -> DataFrame:
+    """(model, job_id, field, stored, recalculated) of every stored score that scoring again does not give; ``legal`` is the legality of the move, where it is judged again."""
+    c = F.col
+    again = score_t1(c("t1_model_eval"), c("t1_stockfish_eval")) | score_t3(c("t3_explanation"), c("t3_side_claimed"), c("t1_stockfish_eval"), c("theme"))
+    if legal is not None:
+        again["t2_legal"] = legal
+    fields = [F.struct(F.lit(k).alias("field"), c(k).cast("string").alias("stored"), v.cast("string").alias("recalculated")) for k, v in again.items() if k in df.columns and k != "t3_score"]
+    wrong = F.filter(F.array(*fields), lambda x: ~x["stored"].eqNullSafe(x["recalculated"]))
+    return df.select("model", "job_id", F.inline(wrong))
+
+
+def issue_report(issues: DataFrame, cap: int = 10, parts: int = 64) -> DataFrame:
+    """Per model the number of jobs with issues and of issues, the first ``cap`` of them by job and field, and how many more there are. Firsts are taken in parts before they meet."""
+    line = F.concat_ws(" ", F.concat("job_id", F.lit(":")), "field", F.concat(F.lit("stored="), F.coalesce("stored", F.lit("none"))), F.concat(F.lit("recalculated="), F.coalesce("recalculated", F.lit("none"))))
+    part = F.pmod(F.xxhash64("job_id"), F.lit(parts))
+    first = issues.select("model", "job_id", "field", line.alias("line"), part.alias("part"))
+    for keys in (["model", "part"], ["model"]):
+        first = first.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("job_id", "field"))).where(F.col("_k") <= cap)
+    lines = first.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "line"))), lambda x: x["line"]), "; ").alias("first"))
+    counts = issues.groupBy("model").agg(F.count_distinct("job_id").alias("jobs"), F.count(F.lit(1)).alias("issues"))
+    return counts.join(lines, "model").select("model", "jobs", "issues", "first", F.greatest(F.col("issues") - cap, F.lit(0)).alias("more"))
+
+
 def cpl_buckets(df: DataFrame, bounds: Iterable[int] = (25, 100, 500, 1000)) -> DataFrame:
     """Counts and shares of losses per half-open bucket."""
     bounds = list(bounds)

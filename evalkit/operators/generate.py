@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import board_udfs, prompts
 from ..functions import exprs as X
 from ..functions.board import START, Board
+from ..functions.board import is_legal as board_is_legal
+from ..functions.parser import clean_token
+from .joins import enrich_losses
 
 _OUT = "row long, kind string, fen string, moves int, theme string, attempts int"
 #: The pieces of each endgame beside the kings, White's first; and those that a mixed set draws from.
@@ -107,8 +111,140 @@ class Stub:
         return f"Eval: {h % 801 - 400}\nMove: {('e4', 'Nf3', 'O-O', 'd4')[h % 4]}\nExplanation: {('White', 'Black', 'Equal')[h % 3]} - because of the structure"
 
 
-def infer(prompts: DataFrame, provider: Callable[[], Callable[[str, str], str]], retries: int = 3) -> DataFrame:
-    """Adds response, success and error to (job_id, model, prompt). A provider is made once per task; failures are retried, then recorded."""
+class ChatServer:
+    """A model behind an HTTP chat interface: one JSON request per prompt, the whole answer at once."""
+
+    def __init__(self, url: str, options: dict | None = None, timeout: float = 120.0):
+        self.url, self.options, self.timeout = url.rstrip("/"), options or {}, timeout
+
+    def __call__(self, model: str, prompt: str) -> str:
+        import json
+        import urllib.request
+
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "stream": False, "options": self.options}
+        request = urllib.request.Request(f"{self.url}/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)["message"]["content"]
+
+
+class Engine:
+    """A chess engine that speaks UCI in a process of its own, started once per task and again, once for each request, if it dies."""
+
+    def __init__(self, command: list[str], go: str = "depth 15"):
+        self.command, self.go, self.process = command, go, None
+
+    def _start(self) -> None:
+        import subprocess
+
+        self.close()
+        self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, bufsize=1)
+        self._ask("uci", "uciok")
+
+    def _ask(self, text: str, last: str) -> list[str]:
+        self.process.stdin.write(f"{text}\n")
+        self.process.stdin.flush()
+        lines = []
+        for line in self.process.stdout:
+            lines.append(line.strip())
+            if lines[-1].startswith(last):
+                return lines
+        raise OSError("the engine ended")
+
+    def lines(self, fen: str) -> list[str]:
+        """What the engine says about a position, up to its best move."""
+        for again in (True, False):
+            try:
+                if self.process is None:
+                    self._start()
+                return self._ask(f"position fen {fen}\ngo {self.go}", "bestmove")
+            except OSError:
+                self.close()
+                if not again:
+                    raise
+        return []
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.wait()
+            self.process = None
+
+
+def evaluate(positions: DataFrame, make: Callable[[], Engine]) -> DataFrame:
+    """(fen, value): the engine's value of each distinct position for White; null where it fails twice."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = make()
+        try:
+            for pdf in batches:
+                said = []
+                for fen in pdf["fen"]:
+                    try:
+                        said.append(engine.lines(fen))
+                    except OSError:
+                        said.append([])
+                yield pd.DataFrame({"fen": pdf["fen"], "said": said})
+        finally:
+            engine.close()
+
+    out = positions.select("fen").where("fen is not null").distinct().mapInPandas(run, "fen string, said array<string>")
+    return out.select("fen", X.engine_score(F.col("said"), X.white_to_move(F.col("fen"))).cast("long").alias("value"))
+
+
+def engine_losses(rows: DataFrame, make: Callable[[], Engine]) -> DataFrame:
+    """Rows with t2_cpl by the engine: its values of the distinct positions before and after the legal moves played."""
+    played = rows.where("t2_legal").select("fen", "t2_move").distinct().select("fen", "t2_move", board_udfs.fen_after("fen", "t2_move").alias("next"))
+    values = evaluate(played.select("fen").union(played.select("next")), make)
+    before = values.select("fen", F.col("value").alias("eval_before"))
+    after = played.join(values.select(F.col("fen").alias("next"), F.col("value").alias("eval_after")), "next").select("fen", F.col("t2_move").alias("move"), "eval_after")
+    return enrich_losses(rows.drop("t2_cpl"), before, after)
+
+
+_RETRIED = "job_id string, model string, fen string, original_move string, retried_move string, retried_legal boolean, retried_cpl long, best_move string, inference_ms long, skipped string"
+
+
+def retry_moves(rows: DataFrame, provider: Callable[[], Callable[[str, str], str]], attempts: int = 5) -> DataFrame:
+    """Asks once more for the moves of (job_id, model, fen, t2_move, t2_best_move), naming the problem and all legal moves.
+
+    Lost connections and timeouts are asked again, ``attempts`` times in all, with a provider
+    made anew; other failures, and positions without moves, are skipped with the reason. A
+    legal move that is the best one loses nothing; the loss of others is not known here.
+    """
+    problem = rows.withColumn("_legal", board_udfs.legal_moves("fen"))
+    asked = problem.select("job_id", "model", "fen", "t2_move", "t2_best_move", F.size("_legal").alias("n"), prompts.retry(F.col("fen"), F.col("t2_move"), F.col("_legal")).alias("prompt"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        ask = provider()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                answer, reason, begun = None, None, time.monotonic()
+                if r.n <= 0:
+                    reason = "no legal moves"
+                else:
+                    for _ in range(attempts):
+                        try:
+                            answer, reason = ask(r.model, r.prompt), None
+                            break
+                        except (ConnectionError, TimeoutError) as e:
+                            reason, ask = str(e) or type(e).__name__, provider()
+                        except Exception as e:  # any other failure of a provider is final
+                            reason = str(e) or type(e).__name__
+                            break
+                move = clean_token(answer.strip().splitlines()[0]) if answer and answer.strip() else None
+                legal = None if answer is None else bool(move) and board_is_legal(r.fen, move)
+                loss = 0 if legal and move == r.t2_best_move else None
+                took = int((time.monotonic() - begun) * 1000)
+                out.append((r.job_id, r.model, r.fen, r.t2_move, move, legal, loss, r.t2_best_move, took, reason))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _RETRIED.split(", ")]).astype({"retried_cpl": "Int64", "retried_legal": "boolean"})
+
+    return asked.mapInPandas(run, _RETRIED)
+
+
+def infer(asked: DataFrame, provider: Callable[[], Callable[[str, str], str]], retries: int = 3) -> DataFrame:
+    """Adds response, success, error and inference_ms to (job_id, model, prompt). A provider is made once per task; failures are retried, then recorded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -117,19 +253,19 @@ def infer(prompts: DataFrame, provider: Callable[[], Callable[[str, str], str]],
         for pdf in batches:
             rows = []
             for model, prompt in zip(pdf["model"], pdf["prompt"], strict=True):
-                error = None
+                answer, error, begun = None, None, time.monotonic()
                 for attempt in range(retries):
+                    begun = time.monotonic()
                     try:
-                        rows.append((ask(model, prompt), True, None))
+                        answer, error = ask(model, prompt), None
                         break
                     except Exception as e:  # any failure of a provider is data
                         error = str(e)
                         time.sleep(min(2**attempt, 8) if attempt + 1 < retries else 0)
-                else:
-                    rows.append((None, False, error))
-            yield pdf.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("response", "success", "error"))})
+                rows.append((answer, error is None, error, int((time.monotonic() - begun) * 1000)))
+            yield pdf.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("response", "success", "error", "inference_ms"))})
 
-    return prompts.select("job_id", "model", "prompt").mapInPandas(run, "job_id string, model string, prompt string, response string, success boolean, error string")
+    return asked.select("job_id", "model", "prompt").mapInPandas(run, "job_id string, model string, prompt string, response string, success boolean, error string, inference_ms long")
 
 
 def fen_sampler(games: DataFrame, percent: int = 10) -> DataFrame:

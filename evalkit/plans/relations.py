@@ -159,6 +159,33 @@ QUERIES = {
         lambda s, d: joins.similar_position(evals(s, d).where("job_type = 'correction'").select("job_id", "position_id", "theme", "difficulty"), _pos(s, d), _pos(s, d).where("position_id % 5 = 0")),
         _SIMILAR,
     ),
+    "follow_up_state": (
+        lambda s, d: joins.assign_follow_ups(evals(s, d).where("job_type = 'correction'").select("job_id", "position_id", "theme", "difficulty"), _pos(s, d), _pos(s, d).where("position_id % 5 = 0")),
+        f"""{_POS}, t AS (SELECT job_id, position_id, theme, difficulty FROM evals WHERE job_type = 'correction'),
+        free AS (SELECT *, sha256(position_id::VARCHAR) AS h FROM pos WHERE position_id % 5 <> 0 AND position_id NOT IN (SELECT position_id FROM t)),
+        a AS (SELECT *, row_number() OVER (PARTITION BY theme, difficulty ORDER BY sha256(job_id), job_id) AS k FROM t), b AS (SELECT *, row_number() OVER (PARTITION BY theme, difficulty ORDER BY h, position_id) AS k FROM free),
+        one AS (SELECT a.job_id, b.position_id AS follow_up FROM a JOIN b USING (theme, difficulty, k)),
+        a2 AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY sha256(job_id), job_id) AS k FROM t WHERE job_id NOT IN (SELECT job_id FROM one)),
+        b2 AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY h, position_id) AS k FROM free WHERE position_id NOT IN (SELECT follow_up FROM one)),
+        two AS (SELECT a2.job_id, b2.position_id AS follow_up FROM a2 JOIN b2 USING (difficulty, k))
+        SELECT t.job_id, x.follow_up FROM t LEFT JOIN (SELECT * FROM one UNION ALL SELECT * FROM two) x USING (job_id)""",
+    ),
+    "validation_issues": (
+        lambda s, d: aggs.issue_report(aggs.validation_issues(evals(s, d).drop("t3_p2_theme_correct"))),
+        f"""{WITH}, p AS (SELECT *, CASE WHEN t3_explanation IS NOT NULL THEN coalesce(t3_side_claimed = CASE WHEN t1_stockfish_eval > 50 THEN 'White' WHEN t1_stockfish_eval < -50 THEN 'Black' ELSE 'Equal' END, false)::INT END AS again FROM evals),
+        i AS (SELECT model, job_id, job_id || ': t3_p1_side_correct stored=' || coalesce(t3_p1_side_correct::VARCHAR, 'none') || ' recalculated=' || coalesce(again::VARCHAR, 'none') AS line FROM p WHERE t3_p1_side_correct IS DISTINCT FROM again),
+        r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY job_id) AS k FROM i)
+        SELECT model, count(DISTINCT job_id) AS jobs, count(*) AS issues, string_agg(line, '; ' ORDER BY k) FILTER (k <= 10) AS first, greatest(count(*) - 10, 0) AS more FROM r GROUP BY model""",
+    ),
+    "first_incomplete_tier": (
+        lambda s, d: aggs.first_incomplete(evals(s, d).where("event_id % 3 > 0"), model_meta(s), 200, 60),
+        f"""{WITH}, {_META}, t(difficulty, o) AS (VALUES ('easy', 0), ('medium', 1), ('hard', 2), ('extreme', 3)), c AS (SELECT model, difficulty, count(*) AS n FROM evals WHERE event_id % 3 > 0 GROUP BY ALL)
+        SELECT model, min_by(t.difficulty, o) AS difficulty FROM meta CROSS JOIN t LEFT JOIN c USING (model, difficulty) WHERE coalesce(n, 0) < 60 GROUP BY model""",
+    ),
+    "ranked_rows": (
+        lambda s, d: aggs.ranked(evals(s, d).select("event_id", "t2_cpl"), "t2_cpl"),
+        f"{WITH} SELECT event_id, t2_cpl FROM evals WHERE t2_cpl IS NOT NULL ORDER BY t2_cpl DESC",
+    ),
     "dedup_first": (
         lambda s, d: windows.dedup_first(_docs(s, d), ["text"], "doc_id").select("doc_id"),
         "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
