@@ -102,16 +102,16 @@ class Walks:
         walks, repeats, sampled = self.shape
         size = np.array(lengths, np.int64)
         wide = int(size.max()) + 1
-        chars = np.zeros((len(texts), wide), np.int64)
+        chars = np.zeros((len(texts), wide), np.int32)
         for k, t in enumerate(texts):
             raw = np.frombuffer(t[: lengths[k]].encode("utf-32-le", "surrogatepass"), np.uint32)
             chars[k, : len(raw)] = raw
         kind = (mix(chars.astype(np.uint64)) % np.uint64(_CLASSES)).astype(np.int64)
         rows = np.arange(len(texts))
-        out = np.zeros((len(texts), walks, repeats * sampled), np.int64)
+        out = np.zeros((len(texts), walks, repeats * sampled), np.int32)
         for w in range(walks):
             at = (self.unit[w * repeats * sampled : (w + 1) * repeats * sampled][None, :] * (2 * size[:, None])).astype(np.int64)
-            path = np.zeros((len(texts), 2 * wide), np.int64)
+            path = np.zeros((len(texts), 2 * wide), np.int32)
             i = np.zeros(len(texts), np.int64)
             for j in range(2 * (wide - 1)):
                 path[:, j] = chars[rows, i]
@@ -173,8 +173,8 @@ class Matcher:
         if not self.items:
             return out
         asked = [(d, k, a) for d, text in enumerate(texts) for k, a in self.windows(text)]
-        for part in range(0, len(asked), 2000):
-            block = asked[part : part + 2000]
+        for part in range(0, len(asked), 500):
+            block = asked[part : part + 500]
             sizes = [len(self.items[k][1]) for _, k, _ in block]
             sketch = self.walks.sketches([texts[d][a : a + n] for (d, _, a), n in zip(block, sizes, strict=True)], sizes)
             which = [k for _, k, _ in block]

@@ -48,11 +48,11 @@ from .textscan import slices, text_buffer
 
 MODEL = "piece_bpe_32k.model"
 #: Stretches whose ids a worker keeps, in each of two generations, and the characters that one may have.
-KEPT, SHORT = 300_000, 64
+KEPT, SHORT = 120_000, 64
 #: Pairs of pieces of which a worker remembers whether they may be neighbours.
-FITS = 1_000_000
+FITS = 400_000
 #: Bytes of text that are encoded together; a longer text is a slice of its own.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 #: Stretches that are searched in lockstep, at most and at least.
 LOCKSTEP, FEW = 1 << 15, 32
 #: Positions between commits that a lockstep search has room for; a stretch whose paths meet later is searched alone.
@@ -232,8 +232,6 @@ class Codec:
         The merges inside a and inside b do not depend on each other; the better next one
         comes first, a's if they are equal, and a pair across is left of all of b's.
         """
-        if len(self.fits) > FITS:
-            self.fits.clear()
         (x, _, last), (y, first, _) = self._made(a), self._made(b)
         i = j = 0
         rank, ok = self.rank, True
@@ -251,7 +249,6 @@ class Codec:
                     ok = False
                     break
                 j += 1
-        self.fits[a, b] = ok
         return ok
 
     def byte_ids(self, char: str) -> list[int]:
@@ -293,7 +290,9 @@ class Codec:
                     if last:
                         ok = fits.get((last, piece))
                         if ok is None:
-                            ok = fit(last, piece)
+                            if len(fits) >= FITS:
+                                fits.clear()
+                            ok = fits[last, piece] = fit(last, piece)
                         if not ok:
                             continue
                     best, before = piece, node
