@@ -14,7 +14,8 @@ Block contents are shuffled once, to be named. Blocks look their names up by the
 alone where it belongs to one distinct content, and by hash and content where two contents
 share it (that set is measured, and is empty as a rule), so nothing rests on the hash.
 Naming aggregates before it shuffles, and look-ups are plain equi-joins that adaptive
-execution splits, so a block that a third of all documents share is no hot task.
+execution splits, so a block that a third of all documents share is no hot task. Rows meet
+the totals of their group in SALTS parts, so a group of any size is none either.
 
 Defined cases. Null counts as empty; a null doc_id is the smallest; if all of a group's
 doc_ids are null, keep_id is null and the rows stay. Of several rows with the group's
@@ -40,6 +41,8 @@ from .textscan import LOWER, slices
 BLOCK = 4096
 #: Blocks that a task remembers to have handed on.
 SENT = 200_000
+#: Parts in which the rows of a group meet its totals.
+SALTS = 64
 
 
 def _blocks(size: int, contents: bool):
@@ -133,8 +136,12 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays."""
     scratch = Scratch(docs.sparkSession, "exact")
     ids = scratch.save(block_identities(docs, scratch, block))
-    groups = ids.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = ids.join(groups, ["levels", "name"])
+    # A group may hold a third of all rows: it meets its totals in SALTS parts, whose own totals are SALTS rows at most.
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    parts = salted.groupBy("levels", "name", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("levels", "name")
+    groups = parts.select("levels", "name", "salt", F.max("top").over(whole).alias("keep_id"), F.sum("n").over(whole).alias("group_size"))
+    out = salted.join(groups, ["levels", "name", "salt"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
