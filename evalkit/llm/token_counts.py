@@ -22,23 +22,25 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, keyed
+from .textscan import slices
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of the broadcast table at most, and bytes that an entry may have to be in it.
 HOT_ENTRIES, HOT_BYTES = 250_000, 64
-#: Distinct pre-tokens that a task holds before it hands its counts on, and words whose pre-tokens it remembers.
-HELD, REMEMBERED = 200_000, 250_000
+#: Bytes of text that a task splits at once; a longer text is taken alone.
+SLICE = 1 << 21
 LIMIT = 512
 #: Outside these blocks, whose letters, digits and spaces all Unicode versions class alike, the library's own splitter is used.
 _UNSURE = regex.compile("[^\\x00-\u0557\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]").search
@@ -50,8 +52,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: White space other than a space or a line feed.
-_OTHER_SPACE = re.compile(r"[^\S \n]").search
+#: White space other than a space or a line feed, as a class of RE2.
+_OTHER_SPACE = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@dataclass
+class Units:
+    """Some texts as units: a word that follows a space, a text's first word, or a text that doesn't split at its spaces.
+
+    Text k, which is row ``rows[k]``, has the units ``of[bounds[k] : bounds[k + 1]]``, one at
+    least. Unit ``unit[j]`` holds the distinct pre-token ``pres[code[j]]``, once for each j.
+    """
+
+    rows: np.ndarray
+    bounds: np.ndarray
+    of: np.ndarray
+    n: int
+    pres: pa.Array
+    code: np.ndarray
+    unit: np.ndarray
 
 
 class PreTokens:
@@ -69,6 +88,8 @@ class PreTokens:
         special = "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])
         self.special = regex.compile(special) if special else None
         self.marks = {t["content"] for t in spec["added_tokens"]}
+        # What a text that splits at its spaces has not, but for spaces beside letters and line feeds beside letters.
+        self.apart = "|".join(["  ", "\n ", " \n", r"\A ", r" \z", _OTHER_SPACE, *(re.escape(m) for m in self.marks)])
         self.plain = regex.compile(public_tokenizers.PATTERN).findall
         # The same pattern for ASCII texts, whose letters and digits need no tables.
         self.ascii = re.compile(public_tokenizers.PATTERN.replace(r"\p{L}", "A-Za-z", 99).replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
@@ -76,22 +97,55 @@ class PreTokens:
 
         self.exact = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
 
-    def words(self, text: str) -> tuple[str, list[str]] | None:
-        """(the text up to its first space, the words after each space), or None.
+    def splits(self, text: str) -> bool:
+        """Whether the text splits at its spaces.
 
-        A space with no other white space beside it always begins a pre-token, so a text
-        without such neighbours splits there and a word's pre-tokens depend on the word
-        alone. None: the text has such neighbours, or a special string.
+        A space with no other white space beside it always begins a pre-token, so a word's
+        pre-tokens depend on the word alone. Not so beside other white space, nor in a text
+        with a special string.
         """
-        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(m in text for m in self.marks):
-            return None
-        head, *rest = text.split(" ")
-        if _OTHER_SPACE(text) and any(w[0].isspace() or w[-1].isspace() for w in (head, *rest)):
-            return None
-        return head, rest
-
-    def of_word(self, word: str) -> list[str]:
-        return self.find(" " + word)
+        if "  " in text or text[:1] == " " or text[-1:] == " " or any(m in text for m in self.marks):
+            return False
+        first, *rest = text.split(" ")
+        return not (first[-1:].isspace() and rest) and not any(w[0].isspace() or w[-1].isspace() for w in rest)
+
+    def of_words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pre-tokens of words that each follow a space, and the place of the word that each is of."""
+        pres, places = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        ascii_ = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        for some in (np.flatnonzero(ascii_), np.flatnonzero(~ascii_)):
+            if len(some):
+                # One text of all words: they hold no space, so the pre-tokens that begin with one begin the words.
+                found = pa.array(self.find(" " + " ".join(words.take(pa.array(some)).to_pylist())), pa.string())
+                pres.append(found)
+                places.append(some[np.cumsum(pc.starts_with(found, " ").to_numpy(zero_copy_only=False)) - 1])
+        return pa.concat_arrays(pres), np.concatenate(places)
+
+    def units(self, texts: pa.Array) -> Units:
+        doubtful = pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False)
+        whole = np.array([k for k in np.flatnonzero(doubtful).tolist() if not self.splits(texts[k].as_py())], np.int64)
+        rows = np.setdiff1d(np.arange(len(texts)), whole)
+        lists = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        bounds, coded = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        of, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
+        # The first words, which no space precedes, and the whole texts are units beyond the words.
+        firsts, which = np.unique(of[bounds[:-1]], return_inverse=True)
+        of[bounds[:-1]] = len(words) + which
+        following = np.flatnonzero(np.bincount(of, minlength=len(words))[: len(words)])
+        found, places = self.of_words(words.take(pa.array(following)))
+        alone = [self.find(w) for w in words.take(pa.array(firsts)).to_pylist()] + [self(texts[k].as_py()) for k in whole.tolist()]
+        pres = pa.concat_arrays([found, pa.array(list(chain.from_iterable(alone)), pa.string())]).dictionary_encode()
+        unit = np.concatenate([following[places], len(words) + np.repeat(np.arange(len(alone)), [len(x) for x in alone])])
+        wholes = np.arange(len(whole))
+        return Units(
+            np.concatenate([rows, whole]),
+            np.concatenate([bounds, bounds[-1] + 1 + wholes]),
+            np.concatenate([of, len(words) + len(firsts) + wholes]),
+            len(words) + len(alone),
+            pres.dictionary,
+            pres.indices.to_numpy().astype(np.int64),
+            unit,
+        )
 
     def find(self, text: str) -> list[str]:
         if text.isascii():
@@ -109,29 +163,12 @@ class PreTokens:
 
 def _tally(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pres, following = PreTokens(path), Counter(), Counter()
-
-        def out():
-            for word, n in following.items():
-                for p in split.of_word(word):
-                    pres[p] += n
-            yield pa.record_batch([pa.array(list(pres), pa.string()), pa.array(list(pres.values()), pa.int64())], ["pre", "freq"])
-            pres.clear()
-            following.clear()
-
-        for batch in batches:
-            for value in batch.column(0):
-                text = value.as_py()
-                found = split.words(text)
-                if found is None:
-                    pres.update(split(text))
-                else:
-                    pres.update(split.find(found[0]))
-                    following.update(found[1])
-                if len(pres) + len(following) >= HELD:
-                    yield from out()
-        if pres or following:
-            yield from out()
+        split = PreTokens(path)
+        for s in slices(batches, most=SLICE):
+            u = split.units(s.rows.column("text"))
+            times = np.bincount(u.of, minlength=u.n)
+            freq = np.bincount(u.code, weights=times[u.unit], minlength=len(u.pres))
+            yield pa.record_batch([u.pres, pa.array(freq.astype(np.int64))], ["pre", "freq"])
 
     return run
 
@@ -153,49 +190,36 @@ def _encode(path: str):
     return run
 
 
+def _missing(u: Units, known: np.ndarray) -> pa.Array:
+    """For each text its pre-tokens that are not known, with their frequencies."""
+    lacks = np.flatnonzero(~known[u.code])
+    lacks = lacks[np.argsort(u.unit[lacks], kind="stable")]
+    n = np.bincount(u.unit[lacks], minlength=u.n)
+    begin = np.cumsum(n) - n
+    at = np.flatnonzero(n[u.of])
+    text, unit = np.searchsorted(u.bounds, at, side="right") - 1, u.of[at]
+    times = n[unit]
+    inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    code = u.code[lacks[np.repeat(begin[unit], times) + inner]]
+    pairs, freq = np.unique(np.repeat(text, times) * len(u.pres) + code, return_counts=True)
+    text, code = np.divmod(pairs, max(len(u.pres), 1))
+    entries = pa.StructArray.from_arrays([u.pres.take(pa.array(code)), pa.array(freq.astype(np.int64))], ["pre", "freq"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(u.rows) + 1)), pa.int32()), entries)
+
+
 def _add_up(path: str, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pieces = PreTokens(path), hot.value
-        names = ["k_id", "k_tx", "doc_id", "n_bytes", "found", "rest"]
-        kind = pa.list_(pa.struct([("pre", pa.string()), ("freq", pa.int64())]))
-        memo: dict[str, int | tuple[int, list[str]]] = {}
-
-        def joined(pres: list[str]) -> int | tuple[int, list[str]]:
-            """The pieces of those in the table; with those that aren't, if there are any."""
-            n, missing = 0, []
-            for p in pres:
-                known = pieces.get(p)
-                if known is None:
-                    missing.append(p)
-                else:
-                    n += known
-            return (n, missing) if missing else n
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                size, sums, rest = [], [], []
-                for value in part.column("text"):
-                    text = value.as_py()
-                    size.append(len(value.as_buffer()))
-                    found = split.words(text)
-                    first = joined(split(text) if found is None else split.find(found[0]))
-                    n, more = (first, {}) if isinstance(first, int) else (first[0], Counter(first[1]))
-                    for word, freq in Counter(found[1]).items() if found else ():
-                        known = memo.get(word)
-                        if known is None:
-                            if len(memo) >= REMEMBERED:
-                                memo.clear()
-                            known = memo[word] = joined(split.of_word(word))
-                        if known.__class__ is int:
-                            n += freq * known
-                        else:
-                            n += freq * known[0]
-                            for p in known[1]:
-                                more[p] = more.get(p, 0) + freq
-                    sums.append(n)
-                    rest.append([{"pre": p, "freq": f} for p, f in more.items()])
-                yield pa.record_batch([*(part.column(c) for c in names[:3]), pa.array(size, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, kind)], names)
+        for s in slices(batches, most=SLICE):
+            u = split.units(s.rows.column("text"))
+            part = s.rows.take(pa.array(u.rows))
+            made = np.array([pieces.get(p, -1) for p in u.pres.to_pylist()], np.int64)
+            of_unit = np.bincount(u.unit, weights=np.maximum(made, 0)[u.code], minlength=u.n).astype(np.int64)
+            found = np.add.reduceat(of_unit[u.of], u.bounds[:-1])
+            size = pc.binary_length(part.column("text")).cast(pa.int64())
+            yield pa.record_batch(
+                [*(part.column(c) for c in ("k_id", "k_tx", "doc_id")), size, pa.array(found), _missing(u, made >= 0)], ["k_id", "k_tx", "doc_id", "n_bytes", "found", "rest"]
+            )
 
     return run
 
