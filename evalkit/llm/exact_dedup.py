@@ -132,16 +132,20 @@ def _by_content(raw: DataFrame, rows: DataFrame, names: DataFrame, level: DataFr
     return plain.unionByName(found.join(split, ["h", "block"]).select("row", "n", "pos", "name"))
 
 
-def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays."""
-    scratch = Scratch(docs.sparkSession, "exact")
-    ids = scratch.save(block_identities(docs, scratch, block))
+def _with_totals(ids: DataFrame) -> DataFrame:
+    """Each row of ids with its group's largest doc_id and number of rows: keep_id, group_size."""
     # A group may hold a third of all rows: it meets its totals in SALTS parts, whose own totals are SALTS rows at most.
     salted = ids.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     parts = salted.groupBy("levels", "name", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("levels", "name")
     groups = parts.select("levels", "name", "salt", F.max("top").over(whole).alias("keep_id"), F.sum("n").over(whole).alias("group_size"))
-    out = salted.join(groups, ["levels", "name", "salt"])
+    return salted.join(groups, ["levels", "name", "salt"])
+
+
+def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    out = _with_totals(scratch.save(block_identities(docs, scratch, block)))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -149,8 +153,7 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each group of equal texts."""
     scratch = Scratch(docs.sparkSession, "exact")
     ids = scratch.save(block_identities(docs, scratch, block))
-    groups = ids.groupBy("levels", "name").agg(F.max("doc_id").alias("id"))
-    top = ids.join(groups, ["levels", "name"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    top = _with_totals(ids).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("keep_id", "id")
     # Texts are told by their normalised digest; a group of one row at the top needs no more than its id and that.
     top = scratch.save(top.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("listed")))
     names = [f"_{k}" for k in range(len(docs.columns))]

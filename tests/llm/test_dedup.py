@@ -152,6 +152,12 @@ def test_exact_dedup_matches_brute_force(spark):
     assert exact_dedup.exact_dedup(empty(spark)).collect() == []
 
 
+def test_one_row_of_a_large_group_stays(spark):
+    rows = [(k, "Copied text") for k in range(2000)] + [(None, "no id")] * 300 + [(None, "NO ID"), (7, "alone"), (1999, "COPIED text")]
+    got = sorted((r.doc_id is None, r.doc_id, r.text) for r in exact_dedup.keep_one(frame(spark, rows, 8)).collect())
+    assert got == [(False, 7, "alone"), (False, 1999, "COPIED text"), (True, None, "NO ID")]
+
+
 def test_exact_dedup_of_texts_that_share_their_first_block(spark):
     head = "h" * 64
     rows = [(k, f"{head}{k % 2500:06d}") for k in range(5000)] + [(9000, f"{head}000001"), (9000, f"{head.upper()}000001")]
