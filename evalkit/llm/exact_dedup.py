@@ -153,9 +153,10 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each group of equal texts."""
     scratch = Scratch(docs.sparkSession, "exact")
     ids = scratch.save(block_identities(docs, scratch, block))
-    top = _with_totals(ids).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("keep_id", "id")
-    # Texts are told by their normalised digest; a group of one row at the top needs no more than its id and that.
-    top = scratch.save(top.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("listed")))
+    # Equal names have equal digests. Rows are counted by id first, so that a group of any size leaves its tasks as few rows.
+    by_id = ids.groupBy("levels", "name", "sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    top = by_id.groupBy("levels", "name", "sha").agg(F.max("doc_id").alias("id"), F.coalesce(F.max_by("n", "doc_id"), F.max("n")).alias("listed"))
+    top = scratch.save(top.select("id", "sha", "listed"))
     names = [f"_{k}" for k in range(len(docs.columns))]
     named = docs.toDF(*names)
     id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
