@@ -24,6 +24,16 @@ def rescue_move(fen: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([B.rescue(f, t) for f, t in zip(fen, text, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StructType([T.StructField("san", T.StringType()), T.StructField("uci", T.StringType())]))
+def legal_lists(fen: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([B.legal_lists(f) for f in fen], columns=["san", "uci"], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("move", T.StringType()), T.StructField("legal", T.BooleanType())]))
+def settle(fen: pd.Series, sans: pd.Series, ucis: pd.Series, move: pd.Series, text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([B.settle(*row) for row in zip(fen, sans, ucis, move, text, strict=True)], columns=["move", "legal"], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def valid_position(fen: pd.Series) -> pd.Series:
     def ok(f):

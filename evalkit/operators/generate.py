@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,16 +244,20 @@ def retry_moves(rows: DataFrame, provider: Callable[[], Callable[[str, str], str
     return asked.mapInPandas(run, _RETRIED)
 
 
-def infer(asked: DataFrame, provider: Callable[[], Callable[[str, str], str]], retries: int = 3) -> DataFrame:
-    """Adds response, success, error and inference_ms to (job_id, model, prompt). A provider is made once per task; failures are retried, then recorded."""
+_ANSWER = T.StructType([T.StructField("response", T.StringType()), T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("inference_ms", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def infer(asked: DataFrame, provider: Callable[[], Callable[[str, str], str]], retries: int = 3, columns: Sequence[str] = ("job_id", "model", "prompt")) -> DataFrame:
+    """Adds response, success, error and inference_ms to the named columns of rows with model and prompt. A provider is made once per task; failures are retried, then recorded."""
+    columns = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
 
         ask = provider()
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for model, prompt in zip(pdf["model"], pdf["prompt"], strict=True):
+            for model, prompt in zip(batch.column("model").to_pylist(), batch.column("prompt").to_pylist(), strict=True):
                 answer, error, begun = None, None, time.monotonic()
                 for attempt in range(retries):
                     begun = time.monotonic()
@@ -263,9 +268,11 @@ def infer(asked: DataFrame, provider: Callable[[], Callable[[str, str], str]], r
                         error = str(e)
                         time.sleep(min(2**attempt, 8) if attempt + 1 < retries else 0)
                 rows.append((answer, error is None, error, int((time.monotonic() - begun) * 1000)))
-            yield pdf.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("response", "success", "error", "inference_ms"))})
+            answers = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *answers], names=[*columns, *_ANSWER.names])
 
-    return asked.select("job_id", "model", "prompt").mapInPandas(run, "job_id string, model string, prompt string, response string, success boolean, error string, inference_ms long")
+    needed = asked.select(*dict.fromkeys([*columns, "model", "prompt"]))
+    return needed.mapInArrow(run, T.StructType([*(needed.schema[c] for c in columns), *_ANSWER.fields]))
 
 
 def fen_sampler(games: DataFrame, percent: int = 10) -> DataFrame:

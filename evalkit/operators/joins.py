@@ -35,8 +35,12 @@ def back_fill_fen(results: DataFrame, positions: DataFrame) -> DataFrame:
 
 def enrich_jobs(jobs: DataFrame, positions: DataFrame) -> DataFrame:
     """Jobs with their position; without one a job is failed. An absent evaluation is 0."""
-    dim = positions.select("position_id", "fen", F.col("t1_stockfish_eval").alias("truth"))
-    out = jobs.join(small(dim), "position_id", "left")
+    return at_positions(jobs, small(positions.select("position_id", "fen", F.col("t1_stockfish_eval").alias("truth"))))
+
+
+def at_positions(jobs: DataFrame, dim: DataFrame) -> DataFrame:
+    """enrich_jobs() with all columns of a table of position_id, fen, truth and others; how it is joined is the caller's choice."""
+    out = jobs.join(dim, "position_id", "left")
     return out.withColumns({"status": F.when(F.col("fen").isNull(), "failed").otherwise(F.col("status")), "truth": F.when(F.col("fen").isNotNull(), F.coalesce("truth", F.lit(0)))})
 
 

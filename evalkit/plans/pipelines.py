@@ -49,17 +49,33 @@ def populate_jobs(existing: DataFrame, dataset: DataFrame, models: Sequence[str]
     return joins.insert_if_absent(existing, joins.job_matrix(dataset, models, formats), "job_id")
 
 
+#: So many positions with their legal moves, under 1 KB each, are broadcast; more are joined by a shuffle.
+FEW_BOARDS = 50_000
+
+
 def run_jobs(jobs: DataFrame, dataset: DataFrame, provider: Callable[[], Callable[[str, str], str]]) -> DataFrame:
-    """Jobs through prompt, model, parser, move rescue and scoring, as result records. A failed call leaves a record without answers."""
-    work = joins.enrich_jobs(jobs, dataset).join(dataset.select("position_id", "difficulty", "phase", "source", "theme", "t2_best_move"), "position_id", "left")
-    asked = work.withColumn("prompt", prompts.build(F.col("fen"), F.lit(""), F.col("prompt_format"), board_udfs.legal_moves("fen")))
-    answers = generate.infer(asked, provider).select("job_id", "response")
-    parsed = asked.drop("prompt").join(answers, "job_id").withColumn("p", parser.parse(F.col("response"), F.col("prompt_format")))
+    """Jobs through prompt, model, parser, move rescue and scoring, as result records: one for each job. A failed call leaves a record without answers.
+
+    Legal moves are generated once for each position that has jobs, and handed to its jobs.
+    Jobs are dealt by number, as their bytes say nothing of what a model's call costs.
+    """
+    parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = dataset.join(jobs.select("position_id").distinct(), "position_id", "left_semi")
+    dim = used.select("position_id", "fen", F.col("t1_stockfish_eval").alias("truth"), "difficulty", "phase", "source", "theme", "t2_best_move")
+    boards = dim.repartition(parts, "position_id").withColumn("legal", board_udfs.legal_lists("fen")).select("*", "legal.san", "legal.uci").drop("legal")
+    if dim.limit(FEW_BOARDS + 1).count() <= FEW_BOARDS:
+        work = joins.at_positions(jobs.repartition(parts, "job_id"), F.broadcast(boards))
+    else:
+        work = joins.at_positions(jobs, boards).repartition(parts, "job_id")
+    asked = work.withColumn("prompt", prompts.build(F.col("fen"), F.lit(""), F.col("prompt_format"), F.split("san", " ")))
+    answers = generate.infer(asked, provider, columns=work.columns).drop("success", "error", "inference_ms")
     takes_move = ~F.col("prompt_format").isin("eval_only", "explanation_only")
-    move = F.when(takes_move, F.coalesce(F.when(board_udfs.is_legal("fen", F.col("p.move")), F.col("p.move")), board_udfs.rescue_move("fen", "response"), F.col("p.move")))
-    scored = parsed.withColumn("t2_move", move).withColumns({
+    parsed = answers.withColumn("p", parser.parse(F.col("response"), F.col("prompt_format")))
+    settled = parsed.withColumn("m", board_udfs.settle("fen", *(F.when(takes_move, F.col(c)) for c in ("san", "uci", "p.move", "response"))))
+    scored = settled.withColumns({
+        "t2_move": F.when(takes_move, F.col("m.move")),
         "t1_model_eval": F.when(~F.col("prompt_format").isin("move_only", "explanation_only"), F.col("p.eval")), "t1_stockfish_eval": F.col("truth"),
-        "t2_legal": F.when(takes_move, board_udfs.is_legal("fen", "t2_move")), "t3_explanation": F.col("p.explanation"), "t3_side_claimed": F.col("p.side_claimed"),
+        "t2_legal": F.when(takes_move, F.col("m.legal")), "t3_explanation": F.col("p.explanation"), "t3_side_claimed": F.col("p.side_claimed"),
         "parse_errors": F.col("p.parse_errors"), "model_family": X.model_family(F.col("model")), "model_size_b": X.model_size(F.col("model")),
     })
     return writers.result_record(
